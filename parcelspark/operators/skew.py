@@ -95,6 +95,23 @@ def chunked_lag(
     )
 
 
+def chunked_running_max(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, out: str
+) -> DataFrame:
+    """Largest ``value`` up to and including each row, per key, with the same chunking as the lag."""
+    parts = df.withColumn("_chunk", chunk)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        parts.groupBy(*keys, "_chunk").agg(F.max(value).alias("_m"))
+        .withColumn("_carry", F.max("_m").over(earlier)).drop("_m")
+    )
+    return (
+        parts.withColumn("_here", F.max(value).over(inside)).join(carry, [*keys, "_chunk"], "left")
+        .withColumn(out, F.greatest("_here", "_carry")).select(*df.columns, out)
+    )
+
+
 def value_chunk(v: Column, per_octave: int = 4096) -> Column:
     """Order-preserving bucket of a double: finer than 0.02 % of the value, both signs."""
     magnitude = F.floor(F.log2(F.abs(v)) * per_octave) + 1100 * per_octave
