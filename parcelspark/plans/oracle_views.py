@@ -147,3 +147,53 @@ VIEWS = {
         JOIN v_latest_version l ON l.version_id = o.version_id
         JOIN v_moments m ON m.id = o.parcel_id JOIN v_version_moments vm ON vm.version_id = o.version_id""",
 }
+
+VIEWS.update({
+    # closed outline edges with their start and end along the exterior; holes are separate
+    "v_parcel_edges": """
+        SELECT project_id, id, 0 AS ring, i, p[1] AS x1, p[2] AS y1, q[1] AS x2, q[2] AS y2 FROM v_parcel_outline
+        UNION ALL
+        SELECT project_id, id, 1, UNNEST([0, 1, 2, 3]), UNNEST([x + 10, x + 10, x + 20, x + 20]), UNNEST([y + 10, y + 20, y + 20, y + 10]),
+               UNNEST([x + 10, x + 20, x + 20, x + 10]), UNNEST([y + 20, y + 20, y + 10, y + 10])
+        FROM v_lattice WHERE id % 7 = 0""",
+    "v_ref_edges": """
+        SELECT project_id, id, 0 AS ring, UNNEST([0, 1, 2, 3]) AS i, UNNEST([x0, x1, x1, x0]) AS x1, UNNEST([y0, y0, y1, y1]) AS y1,
+               UNNEST([x1, x1, x0, x0]) AS x2, UNNEST([y0, y1, y1, y0]) AS y2
+        FROM v_ref_boxes""",
+    "v_parcel_ref_inter": """
+        SELECT a.project_id, a.id AS a_id, b.id AS b_id,
+               SUM(a.s * b.s * greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0))
+                           * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS inter_area
+        FROM v_parcel_boxes a JOIN v_ref_boxes b ON a.project_id = b.project_id GROUP BY 1, 2, 3""",
+    "v_iou": """
+        SELECT i.project_id, a_id, b_id, CASE WHEN inter_area > 0 THEN inter_area / (a.area + b.area - inter_area) ELSE 0 END AS iou
+        FROM v_parcel_ref_inter i JOIN v_parcel_area a ON a.id = a_id JOIN v_ref_area b ON b.id = b_id""",
+    "v_nearest": """
+        SELECT i.project_id, i.a_id AS source_id, i.b_id AS target_id,
+               CASE WHEN i.inter_area > 1e-9 THEN 0 ELSE g.gap END AS distance
+        FROM v_parcel_ref_inter i JOIN (
+          SELECT e.id AS a_id, g.id AS b_id, min(sqrt(
+                   greatest(0, least(e.x1, e.x2) - greatest(g.x1, g.x2), least(g.x1, g.x2) - greatest(e.x1, e.x2)) ** 2 +
+                   greatest(0, least(e.y1, e.y2) - greatest(g.y1, g.y2), least(g.y1, g.y2) - greatest(e.y1, e.y2)) ** 2)) AS gap
+          FROM v_parcel_edges e JOIN v_ref_edges g ON e.project_id = g.project_id GROUP BY 1, 2) g USING (a_id, b_id)
+        QUALIFY row_number() OVER (PARTITION BY i.a_id ORDER BY CASE WHEN i.inter_area > 1e-9 THEN 0 ELSE g.gap END, i.b_id) = 1""",
+    "v_samples": """
+        SELECT layer, project_id, id, s AS sample,
+               x1 + (s * (total / 96) - f) / len * (x2 - x1) AS sx, y1 + (s * (total / 96) - f) / len * (y2 - y1) AS sy
+        FROM (SELECT *, sum(len) OVER (PARTITION BY layer, id ORDER BY i) - len AS f, sum(len) OVER (PARTITION BY layer, id) AS total
+              FROM (SELECT layer, project_id, id, i, x1, y1, x2, y2, abs(x2 - x1) + abs(y2 - y1) AS len FROM (
+                      SELECT 'a' AS layer, * FROM v_parcel_edges WHERE ring = 0 UNION ALL SELECT 'b', * FROM v_ref_edges))) e,
+             range(0, 96) t(s)
+        WHERE s * (total / 96) >= f AND s * (total / 96) < f + len""",
+    "v_directed": """
+        SELECT n.source_id, n.target_id, s.layer, s.sample, min(sqrt(
+                 greatest(0, least(g.x1, g.x2) - s.sx, s.sx - greatest(g.x1, g.x2)) ** 2
+                 + greatest(0, least(g.y1, g.y2) - s.sy, s.sy - greatest(g.y1, g.y2)) ** 2)) AS d
+        FROM v_nearest n JOIN v_samples s ON (s.layer = 'a' AND s.id = n.source_id) OR (s.layer = 'b' AND s.id = n.target_id)
+        JOIN (SELECT 'b' AS layer, id, x1, y1, x2, y2 FROM v_ref_edges UNION ALL SELECT 'a', id, x1, y1, x2, y2 FROM v_parcel_edges) g
+          ON g.layer <> s.layer AND g.id = CASE WHEN s.layer = 'a' THEN n.target_id ELSE n.source_id END
+        GROUP BY 1, 2, 3, 4""",
+    "v_boundary_distance": """
+        SELECT source_id, target_id, (avg(d) FILTER (WHERE layer = 'a') + avg(d) FILTER (WHERE layer = 'b')) / 2 AS boundary_distance
+        FROM v_directed GROUP BY 1, 2""",
+})
