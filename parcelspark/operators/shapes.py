@@ -6,13 +6,14 @@ Each kernel maps a batch of polygons; none of them holds state between rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RING = T.ArrayType(POINT)
 RINGS = T.ArrayType(RING)
+_ARROW_RINGS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
 # Handles kept when a boundary is opened for editing.
 DETAILED_AREA = 5_000.0
@@ -52,9 +53,9 @@ def _hull_size(points: np.ndarray) -> int:
     return corners if corners >= 3 else 1
 
 
-@F.pandas_udf(T.IntegerType())
-def hull_vertex_count(rings: pd.Series) -> pd.Series:
-    return rings.map(lambda r: _hull_size(_points(r[0])))
+@F.arrow_udf(T.IntegerType())
+def hull_vertex_count(rings: pa.Array) -> pa.Array:
+    return pa.array([_hull_size(_points(r[0])) for r in rings.to_pylist()], pa.int32())
 
 
 def _keep_far(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -89,9 +90,9 @@ def _simplified(ring, tolerance: float) -> list[dict]:
 def simplify_rings(tolerance: float):
     """Column function: drop positions closer than ``tolerance`` to the simpler line."""
 
-    @F.pandas_udf(RINGS)
-    def simplify(rings: pd.Series) -> pd.Series:
-        return rings.map(lambda r: [_simplified(g, tolerance) for g in r])
+    @F.arrow_udf(RINGS)
+    def simplify(rings: pa.Array) -> pa.Array:
+        return pa.array([[_simplified(g, tolerance) for g in r] for r in rings.to_pylist()], _ARROW_RINGS)
 
     return simplify
 
@@ -110,8 +111,8 @@ def _drop_flattest(points: np.ndarray, target: int) -> np.ndarray:
     return pts
 
 
-@F.pandas_udf(RINGS)
-def editing_rings(rings: pd.Series, ring_area: pd.Series) -> pd.Series:
+@F.arrow_udf(RINGS)
+def editing_rings(rings: pa.Array, ring_area: pa.Array) -> pa.Array:
     """Rings reduced to a few edit handles: 10 for large or detailed exteriors, else 5; holes 4."""
     def one(r, area):
         out = []
@@ -123,7 +124,7 @@ def editing_rings(rings: pd.Series, ring_area: pd.Series) -> pd.Series:
             out.append(_ring(np.vstack([kept, kept[:1]])))
         return out
 
-    return pd.Series([one(r, a) for r, a in zip(rings, ring_area)])
+    return pa.array([one(r, a) for r, a in zip(rings.to_pylist(), ring_area.to_pylist())], _ARROW_RINGS)
 
 
 def _clip_half_plane(points: np.ndarray, axis: int, limit: float, keep_low: bool) -> np.ndarray:
@@ -150,8 +151,8 @@ def _clip_ring(ring, box) -> list[dict] | None:
     return _ring(np.vstack([points, points[:1]]))
 
 
-@F.pandas_udf(RINGS)
-def clip_rings(rings: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+@F.arrow_udf(RINGS)
+def clip_rings(rings: pa.Array, minx: pa.Array, miny: pa.Array, maxx: pa.Array, maxy: pa.Array) -> pa.Array:
     """Polygon cut to a box (half-plane by half-plane); null when nothing is left."""
     def one(r, *box):
         outer = _clip_ring(r[0], box)
@@ -159,7 +160,8 @@ def clip_rings(rings: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Seri
             return None
         return [outer, *[h for h in (_clip_ring(g, box) for g in r[1:]) if h is not None]]
 
-    return pd.Series([one(*v) for v in zip(rings, minx, miny, maxx, maxy)], dtype=object)
+    columns = [c.to_pylist() for c in (rings, minx, miny, maxx, maxy)]
+    return pa.array([one(*v) for v in zip(*columns)], _ARROW_RINGS)
 
 
 def _clip_segment(x1, y1, x2, y2, box):
@@ -175,8 +177,8 @@ def _clip_segment(x1, y1, x2, y2, box):
     return None if t0 > t1 else (x1 + t0 * dx, y1 + t0 * dy, x1 + t1 * dx, y1 + t1 * dy)
 
 
-@F.pandas_udf(RINGS)
-def clip_lines(lines: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+@F.arrow_udf(RINGS)
+def clip_lines(lines: pa.Array, minx: pa.Array, miny: pa.Array, maxx: pa.Array, maxy: pa.Array) -> pa.Array:
     """Lines cut to a box; a line that leaves and returns gives several parts."""
     def one(parts, *box):
         out: list[list[tuple[float, float]]] = []
@@ -197,4 +199,5 @@ def clip_lines(lines: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Seri
                 out.append(current)
         return [_ring(np.array(part)) for part in out] or None
 
-    return pd.Series([one(*v) for v in zip(lines, minx, miny, maxx, maxy)], dtype=object)
+    columns = [c.to_pylist() for c in (lines, minx, miny, maxx, maxy)]
+    return pa.array([one(*v) for v in zip(*columns)], _ARROW_RINGS)

@@ -95,6 +95,25 @@ def chunked_lag(
     )
 
 
+def chunked_rank(df: DataFrame, keys: list[str], order: list, chunk: Column, out: str) -> DataFrame:
+    """0-based rank per key; ``chunk`` must not decrease along ``order``.
+
+    Rows are numbered inside (key, chunk) and shifted by the row counts of the
+    chunks before, so no key is sorted in one task.
+    """
+    parts = df.withColumn("_chunk", chunk)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        parts.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    )
+    return (
+        parts.withColumn("_rn", F.row_number().over(inside)).join(offsets, [*keys, "_chunk"])
+        .withColumn(out, F.col("_before") + F.col("_rn") - 1).select(*df.columns, out)
+    )
+
+
 def chunked_running_max(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, out: str
 ) -> DataFrame:
