@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,14 +214,14 @@ def face_sizes(components: DataFrame, keys: list[str] | None = None) -> DataFram
     )
 
 
-def _trace(pdf: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+def _trace(codes: np.ndarray) -> list[dict]:
     """Exterior ring of one component in (row, col) corner positions.
 
     Unit edges keep the component on one side; the walk starts at the top edge
     of the first pixel and, where four edges meet, turns so that it stays at
     the pixel it came from. Corners are kept, straight steps are merged.
     """
-    rows, cols = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+    rows, cols = codes // _SHIFT, codes % _SHIFT
     r0, c0 = rows.min() - 1, cols.min() - 1
     grid = np.zeros((rows.max() - r0 + 2, cols.max() - c0 + 2), dtype=bool)
     grid[rows - r0, cols - c0] = True
@@ -251,23 +252,26 @@ def _trace(pdf: pd.DataFrame, names: list[str]) -> pd.DataFrame:
             break
     if ring[-1] != ring[0]:
         ring.append(ring[0])
-    head = {n: [pdf[n].iloc[0]] for n in names}
-    corners = [{"row": float(y + r0), "col": float(x + c0)} for y, x in ring]
-    return pd.DataFrame({**head, "corners": [corners]})
+    return [{"row": float(y + r0), "col": float(x + c0)} for y, x in ring]
+
+
+@F.arrow_udf("array<struct<row:double,col:double>>")
+def _corners(codes: pa.Array) -> pa.Array:
+    corner = pa.struct([("row", pa.float64()), ("col", pa.float64())])
+    return pa.array([_trace(c.values.to_numpy()) for c in codes], pa.list_(corner))
 
 
 def face_rings(components: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys, component, corners``: exterior ring of each component.
 
     Call it on components of bounded size only (:func:`parcel_faces` filters
-    by pixel count and box first), because one task walks one ring.
+    by pixel count and box first), because the pixels of one component are
+    gathered in one row before its ring is walked.
     """
     keys = keys or ["raster_id"]
-    names = [*keys, "component"]
-    fields = ", ".join(f"`{n}` {components.schema[n].dataType.simpleString()}" for n in names)
-    schema = fields + ", corners array<struct<row:double,col:double>>"
-    return components.select(*names, "row", "col").groupBy(*names).applyInPandas(
-        lambda pdf: _trace(pdf, names), schema)
+    code = F.col("row") * F.lit(_SHIFT) + F.col("col")
+    gathered = components.groupBy(*keys, "component").agg(F.collect_list(code).alias("_codes"))
+    return computed_once(gathered, corners=_corners("_codes")).drop("_codes")
 
 
 AFFINE = ["a", "b", "c", "d", "e", "f"]
