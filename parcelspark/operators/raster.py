@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import (
     compactness, map_of, perimeter, pixel_of, polygon_area, vertex_count,
@@ -255,7 +256,10 @@ def _trace(codes: np.ndarray) -> list[dict]:
     return [{"row": float(y + r0), "col": float(x + c0)} for y, x in ring]
 
 
-@F.arrow_udf("array<struct<row:double,col:double>>")
+_CORNERS = T.ArrayType(T.StructType([T.StructField("row", T.DoubleType()), T.StructField("col", T.DoubleType())]))
+
+
+@F.arrow_udf(_CORNERS)
 def _corners(codes: pa.Array) -> pa.Array:
     corner = pa.struct([("row", pa.float64()), ("col", pa.float64())])
     return pa.array([_trace(c.values.to_numpy()) for c in codes], pa.list_(corner))
