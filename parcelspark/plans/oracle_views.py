@@ -8,7 +8,7 @@ of the edge kernels they check.
 VIEWS = {
     "v_parcels": """
         SELECT c_custkey AS parcel_id, CAST(floor(c_custkey / 60) AS BIGINT) AS project_id,
-               CASE WHEN c_custkey % 19 <> 0 THEN (c_acctbal + 1000) / 11000 END AS confidence,
+               CASE WHEN c_custkey % 19 <> 0 THEN (c_acctbal + 1000) / 11003 END AS confidence,
                CASE WHEN c_custkey % 23 <> 0 THEN (c_custkey * 37 % 101) / 100.0::DOUBLE END AS health,
                CASE c_mktsegment WHEN 'BUILDING' THEN 'ai_processed' WHEN 'AUTOMOBILE' THEN 'needs_review'
                     WHEN 'MACHINERY' THEN 'needs_review' WHEN 'HOUSEHOLD' THEN 'verified' ELSE 'rejected' END AS status,

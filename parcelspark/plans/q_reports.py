@@ -9,6 +9,8 @@ from ..sources import domain as D
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
+# priorities have at most eight decimals, so eight never meet a rounding tie
+R8 = lambda c: F.round(c, 8)
 
 
 @query("V1 V2 V3 O1 S5", """
@@ -84,19 +86,19 @@ def project_listing(spark, sf):
 
 
 @query("O2 J11", """
-    SELECT queue_id, parcel_id, round(priority_score, 6) AS priority_score, status
+    SELECT queue_id, parcel_id, round(priority_score, 8) AS priority_score, status
     FROM v_queue WHERE parcel_id IN (SELECT parcel_id FROM v_parcels WHERE project_id = 1)""")
 def project_survey_queue(spark, sf):
     rows = R.queue_listing(D.survey_queue(spark, sf), D.parcels(spark, sf), project_id=1)
-    return rows.select("queue_id", "parcel_id", R6("priority_score").alias("priority_score"), "status")
+    return rows.select("queue_id", "parcel_id", R8("priority_score").alias("priority_score"), "status")
 
 
 @query("O2", """
-    SELECT queue_id, parcel_id, round(priority_score, 6) AS priority_score FROM v_queue
+    SELECT queue_id, parcel_id, round(priority_score, 8) AS priority_score FROM v_queue
     ORDER BY v_queue.priority_score DESC, queue_id LIMIT 50""")
 def top_survey_priorities(spark, sf):
     return R.queue_listing(D.survey_queue(spark, sf)).limit(50).select(
-        "queue_id", "parcel_id", R6("priority_score").alias("priority_score"))
+        "queue_id", "parcel_id", R8("priority_score").alias("priority_score"))
 
 
 @query("J12 V19 V12", """
@@ -110,7 +112,7 @@ def recent_changes(spark, sf):
 
 _EVENTS = """
     SELECT a.anomaly_id, a.parcel_id, a.type, p.parcel_id IS NOT NULL AS parcel_known, p.land_use, p.project_id,
-           coalesce(q.queue_rows, 0) AS queue_rows, round(q.top_priority, 6) AS top_priority, q.top_queue_id, q.top_status
+           coalesce(q.queue_rows, 0) AS queue_rows, round(q.top_priority, 8) AS top_priority, q.top_queue_id, q.top_status
     FROM v_anomalies a LEFT JOIN v_parcels p USING (parcel_id)
     LEFT JOIN (SELECT parcel_id, count(*) AS queue_rows, max(priority_score) AS top_priority,
                       arg_max(queue_id, {'p': priority_score, 'q': -queue_id}) AS top_queue_id,
@@ -126,7 +128,7 @@ def _events(spark, sf):
 
 @query("J13 O5", _EVENTS)
 def change_events(spark, sf):
-    return _events(spark, sf).withColumn("top_priority", R6("top_priority")).select(*_EVENT_COLUMNS)
+    return _events(spark, sf).withColumn("top_priority", R8("top_priority")).select(*_EVENT_COLUMNS)
 
 
 @query("V16 V18 O5", f"""
@@ -134,13 +136,13 @@ def change_events(spark, sf):
     WHERE type = 'topology_break' AND lower(CAST(parcel_id AS VARCHAR) || ' ' || coalesce(land_use, '')) LIKE '%forest%'""")
 def change_search(spark, sf):
     return R.event_search(_events(spark, sf), "Forest", kind="topology_break").select(
-        "anomaly_id", "parcel_id", "type", R6("top_priority").alias("top_priority"))
+        "anomaly_id", "parcel_id", "type", R8("top_priority").alias("top_priority"))
 
 
-@query("J13", "SELECT parcel_id, queue_id, round(priority_score, 6) AS priority_score, status FROM v_queue")
+@query("J13", "SELECT parcel_id, queue_id, round(priority_score, 8) AS priority_score, status FROM v_queue")
 def ranked_survey_queue(spark, sf):
     return R.ranked_queue(D.survey_queue(spark, sf)).select(
-        "parcel_id", "queue_id", R6("priority_score").alias("priority_score"), "status")
+        "parcel_id", "queue_id", R8("priority_score").alias("priority_score"), "status")
 
 
 @query("A21 A29", "SELECT type, count(*) AS events, count(DISTINCT parcel_id) AS parcels FROM v_anomalies GROUP BY 1")
@@ -173,21 +175,21 @@ def _workspace(spark, sf):
 
 @query("J14 V14 O4", f"""
     SELECT parcel_id, status, components, round(topology_score, 6) AS topology_score, round(rl_score, 6) AS rl_score, anomaly_count,
-           has_topology_error, labelled_negative, queue_id, round(queue_priority, 6) AS queue_priority, manually_edited
+           has_topology_error, labelled_negative, queue_id, round(queue_priority, 8) AS queue_priority, manually_edited
     FROM ({_WORKSPACE})""")
 def review_workspace(spark, sf):
     return _workspace(spark, sf).select(
         "parcel_id", "status", "components", R6("topology_score").alias("topology_score"), R6("rl_score").alias("rl_score"),
         "anomaly_count", "has_topology_error", "labelled_negative", "queue_id",
-        R6("queue_priority").alias("queue_priority"), "manually_edited")
+        R8("queue_priority").alias("queue_priority"), "manually_edited")
 
 
 @query("V15 V16 O4", f"""
-    SELECT parcel_id, status, round(queue_priority, 6) AS queue_priority FROM ({_WORKSPACE})
+    SELECT parcel_id, status, round(queue_priority, 8) AS queue_priority FROM ({_WORKSPACE})
     WHERE status IN ('needs_review', 'rejected') AND lower(CAST(parcel_id AS VARCHAR) || ' ' || coalesce(land_use, '')) LIKE '%water%'""")
 def review_tab_search(spark, sf):
     return R.review_tab(_workspace(spark, sf), "review", "water", "priority").select(
-        "parcel_id", "status", R6("queue_priority").alias("queue_priority"))
+        "parcel_id", "status", R8("queue_priority").alias("queue_priority"))
 
 
 @query("A20 V15", f"""

@@ -35,7 +35,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         k.alias("parcel_id"),
         project_of(k).alias("project_id"),
-        F.when(k % 19 != 0, (F.col("c_acctbal") + 1000) / 11000).alias("confidence"),
+        F.when(k % 19 != 0, (F.col("c_acctbal") + 1000) / 11003).alias("confidence"),
         F.when(k % 23 != 0, (k * 37 % 101) / 100.0).alias("health"),
         status.alias("status"),
         F.element_at(F.array(F.lit("ai_extracted"), F.lit("existing_gis"), F.lit("field_verified")),
