@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import polygon_area
 from ..functions.once import computed_once
+from ..session import cut_lineage
 from .boundary import symmetric_boundary_distance
 from .copies import SHAPE, distinct_shapes, with_shape_keys
 from .grid import cross_candidates
@@ -16,30 +17,40 @@ from .skew import exact_quantiles, salted_lookup
 from .validity import with_validity
 
 
+def _shapes(layer: DataFrame, scope: list[str]) -> DataFrame:
+    """Distinct shapes, computed once: the grid statistics, the pairs and the copies all read them."""
+    return cut_lineage(distinct_shapes(layer, scope))
+
+
 def _shape_pairs(source: DataFrame, target: DataFrame, scope: list[str]) -> DataFrame:
     """``scope, l_id, r_id, iou`` of distinct shapes that share area."""
-    pairs = cross_candidates(
-        distinct_shapes(source, scope), distinct_shapes(target, scope), scope, ["rings", "area"], ["rings", "area"])
+    pairs = cross_candidates(source, target, scope, ["rings", "area"], ["rings", "area"])
     measured = intersection_area(
         pairs, [*scope, "l_id", "r_id"], "l_rings", "r_rings", carry=["l_area", "r_area"])
     return measured.select(
         *scope, "l_id", "r_id", iou(F.col("l_area"), F.col("r_area"), F.col("inter_area")).alias("iou"))
 
 
-def _spread_to_members(layer: DataFrame, scope: list[str], by_shape: DataFrame) -> DataFrame:
-    """Best value of each distinct shape given to all its copies; 0 where none was found."""
-    shapes = distinct_shapes(layer, scope).select(*scope, *SHAPE, "id")
-    scored = shapes.join(by_shape, [*scope, "id"], "left").select(*scope, *SHAPE, "best_iou")
-    members = with_shape_keys(layer).select(*scope, *SHAPE, "id")
+def _best(layer: DataFrame, shapes: DataFrame, pairs: DataFrame, side: str, scope: list[str]) -> DataFrame:
+    """Best value per distinct shape, given to all copies of it; 0 where no pair was found."""
+    best = pairs.groupBy(*scope, F.col(side).alias("id")).agg(F.max("iou").alias("best_iou"))
+    scored = shapes.select(*scope, *SHAPE, "id").join(best, [*scope, "id"], "left").select(*scope, *SHAPE, "best_iou")
+    members = with_shape_keys(layer.select(*scope, "id", "rings")).select(*scope, *SHAPE, "id")
     return salted_lookup(members, scored, [*scope, *SHAPE], "left", spread=["id"]).select(
         *scope, "id", F.coalesce("best_iou", F.lit(0.0)).alias("best_iou"))
 
 
 def best_iou(source: DataFrame, target: DataFrame, scope: list[str]) -> DataFrame:
     """``scope, id, best_iou``: best overlap ratio of each source polygon with any target."""
-    best = _shape_pairs(source, target, scope).groupBy(*scope, F.col("l_id").alias("id")).agg(
-        F.max("iou").alias("best_iou"))
-    return _spread_to_members(source, scope, best)
+    shapes = _shapes(source, scope)
+    return _best(source, shapes, _shape_pairs(shapes, _shapes(target, scope), scope), "l_id", scope)
+
+
+def best_iou_both_ways(source: DataFrame, target: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(best per source, best per target) from one table of pairs."""
+    left, right = _shapes(source, scope), _shapes(target, scope)
+    pairs = cut_lineage(_shape_pairs(left, right, scope))
+    return _best(source, left, pairs, "l_id", scope), _best(target, right, pairs, "r_id", scope)
 
 
 def boundary_distances(source: DataFrame, target: DataFrame, scope: list[str], radius: float,
@@ -57,12 +68,12 @@ def compare_layers(candidates: DataFrame, references: DataFrame, scope: list[str
                    distances: bool = True) -> DataFrame:
     """One row per scope: counts, mean best IoU both ways, matches, distances, median areas."""
     group = scope
-    cand = best_iou(candidates, references, scope).groupBy(*group).agg(
+    per_candidate, per_reference = best_iou_both_ways(candidates, references, scope)
+    cand = per_candidate.groupBy(*group).agg(
         F.count(F.lit(1)).alias("candidate_count"),
         F.avg("best_iou").alias("candidate_mean_best_iou"),
-        F.min("best_iou").alias("candidate_min_best_iou"),
     )
-    ref = best_iou(references, candidates, scope).groupBy(*group).agg(
+    ref = per_reference.groupBy(*group).agg(
         F.count(F.lit(1)).alias("reference_count"),
         F.avg("best_iou").alias("reference_mean_best_iou"),
         F.count_if(F.col("best_iou") >= 0.5).alias("reference_matched_iou_50"),
@@ -92,7 +103,6 @@ def compare_layers(candidates: DataFrame, references: DataFrame, scope: list[str
         .withColumn("candidate_mean_best_iou", precision)
         .withColumn("reference_mean_best_iou", recall)
         .withColumn("harmonic_mean_best_iou", harmonic(F.col("candidate_mean_best_iou"), F.col("reference_mean_best_iou")))
-        .drop("candidate_min_best_iou")
     )
 
 

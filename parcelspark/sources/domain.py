@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for work that costs far more than its scan.
+
+    A small table is one file split, so one task would do all its geometry;
+    scans that already have a split per core are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def project_of(parcel_id: Column) -> Column:
     return F.floor(parcel_id / PROJECT_SIZE).cast("long")
 
@@ -72,7 +82,7 @@ def parcel_rings(k: Column) -> Column:
 def parcel_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``project_id, id, rings``: current parcel geometry in metres."""
     k = F.col("c_custkey")
-    keys = table(spark, sf_dir, "customer").select(project_of(k).alias("project_id"), k.alias("id"))
+    keys = spread(table(spark, sf_dir, "customer").select(project_of(k).alias("project_id"), k.alias("id")), "id")
     return computed_once(keys, rings=parcel_rings(F.col("id")))
 
 
@@ -86,7 +96,7 @@ def reference_rings(k: Column) -> Column:
 def reference_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``project_id, id, rings``: the surveyed reference faces, shifted boxes."""
     k = F.col("c_custkey")
-    keys = table(spark, sf_dir, "customer").select(project_of(k).alias("project_id"), k.alias("id"))
+    keys = spread(table(spark, sf_dir, "customer").select(project_of(k).alias("project_id"), k.alias("id")), "id")
     return computed_once(keys, rings=reference_rings(F.col("id")))
 
 
@@ -125,11 +135,11 @@ def version_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every 4th version is an exact copy of the current boundary.
     """
     key, parcel = F.col("version_id"), F.col("parcel_id")
-    keys = table(spark, sf_dir, "orders").select(
+    keys = spread(table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("version_id"),
         F.col("o_custkey").alias("parcel_id"),
         F.col("o_orderdate").cast("timestamp").alias("captured_at"),
-    )
+    ), "version_id")
     return computed_once(
         keys, rings=F.when(key % 4 == 0, parcel_rings(parcel)).otherwise(version_rings(key, parcel)))
 
