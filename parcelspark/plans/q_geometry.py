@@ -416,3 +416,51 @@ def location_cells(spark, sf):
     centred = computed_once(D.parcel_layer(spark, sf), c=G.centroid("rings"))
     features = centred.select("project_id", F.col("id"), F.col("id").alias("seq"), F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
     return L.location_cells(features, SCOPE, 100.0).select("project_id", "id", "cell_x", "cell_y", "group_index")
+
+
+# --- features as pixels ------------------------------------------------------
+
+_GRID = """
+    SELECT project_id, r AS row, c AS col, -10.3 + c * 5 AS px0, -10.3 + c * 5 + 5 AS px1, 400.7 - r * 5 - 5 AS py0, 400.7 - r * 5 AS py1
+    FROM v_projects, range(0, 84) a(r), range(0, 126) b(c)"""
+
+
+def _grids(spark, sf):
+    return D.projects(spark, sf).select(
+        F.col("project_id").alias("raster_id"), F.lit(5.0).alias("a"), F.lit(0.0).alias("b"), F.lit(-10.3).alias("c"), F.lit(0.0).alias("d"),
+        F.lit(-5.0).alias("e"), F.lit(400.7).alias("f"), F.lit(84).alias("height"), F.lit(126).alias("width"))
+
+
+def _features(spark, sf):
+    return D.parcel_layer(spark, sf).withColumnRenamed("project_id", "raster_id")
+
+
+@query("G35 G23 G26", f"""
+    SELECT DISTINCT g.project_id AS raster_id, g.row, g.col FROM ({_GRID}) g JOIN v_parcel_edges e ON e.project_id = g.project_id
+      AND least(e.x1, e.x2) <= g.px1 AND greatest(e.x1, e.x2) >= g.px0 AND least(e.y1, e.y2) <= g.py1 AND greatest(e.y1, e.y2) >= g.py0""")
+def burned_lines(spark, sf):
+    from ..operators.burn import touched_pixels
+
+    return touched_pixels(_features(spark, sf), _grids(spark, sf), ["raster_id", "id"]).select("raster_id", "row", "col").distinct()
+
+
+@query("G34", f"""
+    SELECT DISTINCT g.project_id AS raster_id, g.row, g.col FROM (SELECT *, (px0 + px1) / 2 AS px, (py0 + py1) / 2 AS py FROM ({_GRID})) g
+    JOIN v_parcel_edges e ON e.project_id = g.project_id
+      AND greatest(0, least(e.x1, e.x2) - px, px - greatest(e.x1, e.x2)) ** 2 + greatest(0, least(e.y1, e.y2) - py, py - greatest(e.y1, e.y2)) ** 2 <= 9.0""")
+def protected_band(spark, sf):
+    from ..operators.burn import near_pixels
+
+    return near_pixels(_features(spark, sf), _grids(spark, sf), ["raster_id", "id"], 3.0).select("raster_id", "row", "col").distinct()
+
+
+@query("G34", f"""
+    SELECT b.id, count(*) AS pixels FROM (
+      SELECT b.id, g.row, g.col, sum(b.s) AS s FROM (SELECT *, (px0 + px1) / 2 AS px, (py0 + py1) / 2 AS py FROM ({_GRID})) g
+      JOIN v_parcel_boxes b ON b.project_id = g.project_id AND px BETWEEN b.x0 AND b.x1 AND py BETWEEN b.y0 AND b.y1 GROUP BY 1, 2, 3) b
+    WHERE s > 0 GROUP BY 1""")
+def filled_parcels(spark, sf):
+    from ..operators.burn import filled_pixels
+
+    return filled_pixels(_features(spark, sf), _grids(spark, sf), ["raster_id", "id"]).groupBy("id").agg(
+        F.count(F.lit(1)).alias("pixels"))
