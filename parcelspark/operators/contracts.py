@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import equals_exact
 from ..functions.identity import canonical_uuid
+from .skew import rows_not_listed
 from .validity import invalid_reason
 
 SCORES = ["confidence_score", "segmentation_score", "topology_score", "edge_alignment_score",
@@ -123,7 +124,8 @@ def id_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def occupied_projects(incoming: DataFrame, parcels: DataFrame) -> DataFrame:
     """Target projects that already hold parcels, and incoming parcels already stored."""
-    busy = incoming.select("project_id").distinct().join(parcels, "project_id", "left_semi").select(
+    held = parcels.select("project_id").distinct()
+    busy = incoming.select("project_id").distinct().join(held, "project_id", "left_semi").select(
         F.lit("project_not_empty").alias("rule"), F.col("project_id").cast("string").alias("id"))
     stored = incoming.select("parcel_id").join(parcels, "parcel_id", "left_semi").select(
         F.lit("parcel_stored").alias("rule"), F.col("parcel_id").cast("string").alias("id"))
@@ -133,7 +135,7 @@ def occupied_projects(incoming: DataFrame, parcels: DataFrame) -> DataFrame:
 def unknown_assignees(queue: DataFrame, users: DataFrame) -> DataFrame:
     """Queue rows whose assignee is not a user."""
     asked = queue.where(F.col("assigned_to").isNotNull())
-    return asked.join(users.select(F.col("user_id").alias("assigned_to")), "assigned_to", "left_anti")
+    return rows_not_listed(asked, users.select(F.col("user_id").alias("assigned_to")), ["assigned_to"], spread=["queue_id"])
 
 
 def review_export_rules() -> dict[str, Column]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import polygon_area
 from ..functions.once import computed_once
 from .review import stored_correction_type
-from .skew import chunked_lag, chunked_running_max, salted_lookup
+from .skew import chunked_lag, chunked_running_max, rows_not_listed, salted_lookup
 
 ORDER = ["at", "event_id"]
 # Kinds a single-boundary review cannot apply.
@@ -130,8 +130,7 @@ def label_anomalies(applied: DataFrame) -> DataFrame:
 def current_evidence(evidence: DataFrame, applied: DataFrame, effects: DataFrame) -> DataFrame:
     """Evidence that outlives geometry changes: untouched parcels keep theirs, later labels are added."""
     reshaped = effects.where("_reshaped").select("parcel_id", "_reshaped_at")
-    flags = reshaped.select("parcel_id", F.lit(True).alias("_gone"))
-    kept = salted_lookup(evidence, flags, ["parcel_id"], "left").where(F.col("_gone").isNull()).drop("_gone")
+    kept = rows_not_listed(evidence, reshaped, ["parcel_id"])
     labelled = applied.where((F.col("kind") == "verify") & F.col("review_label").isNotNull())
     labels = salted_lookup(labelled.drop("rings"), reshaped, ["parcel_id"], "left", spread=["event_id"]).where(
         F.col("_reshaped_at").isNull() | (F.struct(*ORDER) >= F.col("_reshaped_at")))
@@ -212,7 +211,7 @@ def delete_project(project_id: int, parcels: DataFrame, by_parcel: dict[str, Dat
                    by_project: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All tables without one project: children go with their parcels."""
     doomed = parcels.where(F.col("project_id") == project_id).select("parcel_id")
-    out = {n: t.join(doomed, "parcel_id", "left_anti") for n, t in by_parcel.items()}
+    out = {n: rows_not_listed(t, doomed, ["parcel_id"]) for n, t in by_parcel.items()}
     out.update({n: t.where(F.coalesce(F.col("project_id") != project_id, F.lit(True))) for n, t in by_project.items()})
     out["parcels"] = parcels.where(F.col("project_id") != project_id)
     return out

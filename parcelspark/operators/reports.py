@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import confidence_band
-from .skew import latest_by, salted_lookup
+from .skew import latest_by, rows_listed, salted_lookup
 
 OPEN_STATUSES = ("pending", "assigned")
 # Fixed value: provenance line shown when refinement evidence is stored.
@@ -77,7 +77,7 @@ def queue_listing(queue: DataFrame, parcels: DataFrame | None = None, project_id
     rows = queue
     if project_id is not None:
         wanted = parcels.where(F.col("project_id") == project_id).select("parcel_id")
-        rows = rows.join(wanted, "parcel_id", "left_semi")
+        rows = rows_listed(rows, wanted, ["parcel_id"], spread=["queue_id"])
     return rows.orderBy(F.desc("priority_score"), "queue_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import rollout_score
-from .skew import earliest_by, latest_by
+from .skew import chunked_rank, earliest_by, latest_by, salted_lookup, value_chunk
 
 # Share of draws per patch role and the feedback share.
 ROLE_MASS = {"positive_boundary": 0.55, "hard_negative": 0.30, "ordinary": 0.15}
@@ -121,15 +121,13 @@ def assign_splits(picked: DataFrame, train: int, validation: int, test: int) ->
 def location_cells(features: DataFrame, scope: list[str], cell: float = 384.0) -> DataFrame:
     """Add the cell of each centroid (``cx, cy``) and ``group_index``, cells numbered by first row.
 
-    ``seq`` is the feature order. Cells are numbered from their first rows, one
-    row per cell, so only that small list is ordered per image.
+    ``seq`` is the feature order. The numbering runs over one row per cell, in
+    chunks of the first row's position.
     """
     key = features.withColumn("cell_x", F.floor(F.col("cx") / cell)).withColumn("cell_y", F.floor(F.col("cy") / cell))
     cells = key.groupBy(*scope, "cell_x", "cell_y").agg(F.min("seq").alias("_first"))
-    numbered = cells.withColumn(
-        "group_index", F.row_number().over(Window.partitionBy(*scope).orderBy("_first")) - 1).drop("_first")
-    from .skew import salted_lookup
-
+    numbered = chunked_rank(
+        cells, scope, ["_first"], value_chunk(F.col("_first").cast("double")), "group_index").drop("_first")
     return salted_lookup(key, numbered, [*scope, "cell_x", "cell_y"], "inner", spread=["seq"])
 
 

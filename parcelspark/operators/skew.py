@@ -50,6 +50,21 @@ def salted_lookup(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def _flagged(facts: DataFrame, keys: DataFrame, on: list[str], spread: list[str] | None) -> DataFrame:
+    listed = keys.select(*on).distinct().withColumn("_listed", F.lit(True))
+    return salted_lookup(facts, listed, on, "left", spread)
+
+
+def rows_listed(facts: DataFrame, keys: DataFrame, on: list[str], spread: list[str] | None = None) -> DataFrame:
+    """Semi join that deals a hot key of ``facts`` over several tasks."""
+    return _flagged(facts, keys, on, spread).where(F.col("_listed").isNotNull()).select(*facts.columns)
+
+
+def rows_not_listed(facts: DataFrame, keys: DataFrame, on: list[str], spread: list[str] | None = None) -> DataFrame:
+    """Anti join that deals a hot key of ``facts`` over several tasks."""
+    return _flagged(facts, keys, on, spread).where(F.col("_listed").isNull()).select(*facts.columns)
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """One row per key, the greatest by ``order``: a partial aggregate, never a sorted group."""
     best = F.max_by(F.struct(*keep), F.struct(*order)).alias("_best")

@@ -11,7 +11,7 @@ from parcelspark.operators import replay as X
 from parcelspark.operators import reports as R
 from parcelspark.operators import review as V
 from parcelspark.operators import selection as L
-from parcelspark.operators.skew import chunked_lag, exact_quantiles, salted_lookup
+from parcelspark.operators.skew import chunked_lag, chunked_rank, exact_quantiles, rows_listed, rows_not_listed, salted_lookup, value_chunk
 
 
 def value(spark, column):
@@ -155,6 +155,14 @@ def test_hot_keys_and_chunks_give_the_plain_answer(spark):
         want[i] = last.get(k)
         last[k] = v
     assert lagged == want
+    some = df.where("k = 1").select("k")
+    assert {r.id for r in rows_listed(df, some, ["k"]).collect()} == {r[1] for r in rows if r[0] == 1}
+    assert {r.id for r in rows_not_listed(df, some, ["k"]).collect()} == {r[1] for r in rows if r[0] != 1}
+    ranks = {r.id: r.n for r in chunked_rank(df, ["k"], ["v", "id"], value_chunk(F.col("v")), "n").collect()}
+    groups = {}
+    for k, i, v, _ in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        groups.setdefault(k, []).append(i)
+    assert ranks == {i: n for ids in groups.values() for n, i in enumerate(ids)}
     got = exact_quantiles(df.where("k = 1"), [], "v", {"m": 0.5, "p": 0.99}).first()
     ordered = sorted(r[2] for r in rows if r[0] == 1)
 
