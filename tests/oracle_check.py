@@ -46,7 +46,7 @@ def compare(spark, con, name, run, sql, sf_dir):
 
 
 def main():
-    from parcelspark.plans.catalog import CATALOG
+    import __spark_entry__
     from parcelspark.session import get_session
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
@@ -56,12 +56,13 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     bad = 0
-    for name, q in CATALOG.items():
+    oracles = __spark_entry__.oracle_sql()
+    for name, run in __spark_entry__.queries().items():
         if names and not any(name == n or (n.endswith("*") and name.startswith(n[:-1])) for n in names):
             continue
         t = time.time()
         try:
-            rows, result = compare(spark, con, name, q.run, q.oracle, sf_dir)
+            rows, result = compare(spark, con, name, run, oracles.get(name), sf_dir)
             status = "ROWS" if result is None else ("OK" if result[0] else "DIFF")
         except Exception as error:  # report and go on
             rows, result, status = 0, str(error)[:1500], "ERROR"
