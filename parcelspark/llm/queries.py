@@ -131,10 +131,10 @@ FROM s
 ORACLE["op5_decontamination"] = r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 i AS (
   SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 iw AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS g
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
@@ -163,5 +163,5 @@ t AS (
   SELECT doc_id, count(*) FILTER (gone) AS n_removed_lines,
          coalesce(string_agg(CASE WHEN NOT gone THEN raw END, chr(10) ORDER BY pos), '') AS kept
   FROM m GROUP BY doc_id)
-SELECT doc_id, n_removed_lines, octet_length(kept::BLOB)::BIGINT AS kept_bytes, sha256(kept) AS kept_sha256 FROM t
+SELECT doc_id, n_removed_lines, strlen(kept)::BIGINT AS kept_bytes, sha256(kept) AS kept_sha256 FROM t
 """
