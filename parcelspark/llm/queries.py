@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .line_spread import without_boilerplate
+from .near_passages import near_duplicate_passages
 from .packing import pack
 from .preference import format_preferences, swapped_replies
 from .quality_rules import judged
+from .repeated_bytes import without_repeats
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .url_rules import judge_urls
@@ -40,6 +42,10 @@ def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         trained("chosen_mask").alias("chosen_trained"), trained("rejected_mask").alias("rejected_trained"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -76,10 +82,14 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_passages(table(spark, sf_dir, "documents")).withColumn("passages", F.col("passages").cast("string"))
+
+
 QUERIES = {
     f.__name__: f for f in (
-        op1_preference_pairs, op3_token_counts, op4_line_dedup, op5_decontamination, op6_simhash, op7_quality_rules,
-        op8_packing, op9_url_rules)
+        op1_preference_pairs, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op5_decontamination, op6_simhash, op7_quality_rules,
+        op8_packing, op9_url_rules, op10_substring_dedup)
 }
 
 ORACLE: dict[str, str] = {}
