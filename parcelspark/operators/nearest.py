@@ -26,16 +26,22 @@ def nearest_polygon(source: DataFrame, target: DataFrame, scope: list[str],
 
     A round looks for targets within the radius. A source is settled when its
     best distance is within that radius, as nothing outside can be closer. The
-    others go on with a larger radius. Sources of a scope that has no target
-    are left out. The loop ends when every other source is settled.
+    others go on with a larger radius. Targets without a usable geometry (null,
+    empty or not finite) are no targets; sources of a scope that has none are
+    left out, and so are sources without a usable geometry. Every other source has a
+    target at a finite distance, so the loop ends when all are settled, at the
+    latest when the radius spans every box.
     """
-    scopes = target.select(*scope).distinct()
-    boxed_target = with_bbox(target.select(*scope, "id", "rings"))
-    pending = with_bbox(source.select(*scope, "id", "rings"))
+    boxed_target = _usable(target.select(*scope, "id", "rings"))
+    scopes = boxed_target.select(*scope).distinct()
+    pending = _usable(source.select(*scope, "id", "rings"))
     if scope:
         pending = pending.join(scopes, scope, "left_semi")
-    elif target.isEmpty():
+    elif boxed_target.isEmpty():
         return _empty(source, scope)
+    corners = boxed_target.select("minx", "miny", "maxx", "maxy").unionByName(pending.select("minx", "miny", "maxx", "maxy")).agg(
+        F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")).first()
+    widest = 0.0 if corners[0] is None else 2 * (corners[2] - corners[0] + corners[3] - corners[1])
     settled: DataFrame | None = None
     while True:
         near = cross_candidates(pending, boxed_target, scope, ["rings"], ["rings"], margin=radius / 2)
@@ -52,11 +58,20 @@ def nearest_polygon(source: DataFrame, target: DataFrame, scope: list[str],
         settled = best if settled is None else settled.unionByName(best)
         done = best.select(*scope, F.col("source_id").alias("id"))
         pending = cut_lineage(pending.join(done, [*scope, "id"], "left_anti"))
-        if pending.isEmpty():
+        if radius > widest or pending.isEmpty():
             return settled
         radius *= growth
 
 
+def _usable(layer: DataFrame) -> DataFrame:
+    """Rows with an exterior and a box whose corners are finite numbers, with that box."""
+    boxed = with_bbox(layer.where(F.coalesce(F.size(F.get("rings", F.lit(0))), F.lit(0)) > 0))
+    finite = F.lit(True)
+    for c in ("minx", "miny", "maxx", "maxy"):
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    return boxed.where(finite)
+
+
 def _empty(source: DataFrame, scope: list[str]) -> DataFrame:
     return source.select(
         *scope, F.col("id").alias("source_id"), F.col("id").alias("target_id"), F.lit(0.0).alias("distance")

@@ -2,8 +2,8 @@
 
 The intersection area is a sum over edge pairs: every non-vertical edge is the
 lower border of a signed trapezoid, and two trapezoids share the area under
-the lower of their two lines. Edges are exploded in the row's own task, the
-partial aggregate folds them back before the one small shuffle.
+the lower of their two lines. Both polygons stand in the pair's row, so the sum
+is taken there: no explode, no shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ring_edges, ring_signed_area
+from ..functions.once import computed_once
 
 
 def signed_edges(rings: Column | str, ox: Column, oy: Column) -> Column:
@@ -39,14 +40,14 @@ def signed_edges(rings: Column | str, ox: Column, oy: Column) -> Column:
     return F.flatten(F.transform(rings, one))
 
 
-def _shared_area() -> Column:
-    """Integral of the lower of two lines over their common x-range (columns e, g)."""
-    left = F.greatest(F.col("e.xl"), F.col("g.xl"))
-    right = F.least(F.col("e.xr"), F.col("g.xr"))
-    fl = F.col("e.yl") + F.col("e.m") * (left - F.col("e.xl"))
-    fr = F.col("e.yl") + F.col("e.m") * (right - F.col("e.xl"))
-    gl = F.col("g.yl") + F.col("g.m") * (left - F.col("g.xl"))
-    gr = F.col("g.yl") + F.col("g.m") * (right - F.col("g.xl"))
+def _shared_area(e: Column, g: Column) -> Column:
+    """Integral of the lower of two lines over their common x-range."""
+    left = F.greatest(e["xl"], g["xl"])
+    right = F.least(e["xr"], g["xr"])
+    fl = e["yl"] + e["m"] * (left - e["xl"])
+    fr = e["yl"] + e["m"] * (right - e["xl"])
+    gl = g["yl"] + g["m"] * (left - g["xl"])
+    gr = g["yl"] + g["m"] * (right - g["xl"])
     dl, dr = fl - gl, fr - gr
     above = (
         F.when((dl >= 0) & (dr >= 0), (dl + dr) / 2.0)
@@ -54,7 +55,7 @@ def _shared_area() -> Column:
         .when(dl > 0, dl * dl / (2.0 * (dl - dr)))
         .otherwise(dr * dr / (2.0 * (dr - dl)))
     )
-    return F.col("e.s") * F.col("g.s") * (right - left) * ((fl + fr) / 2.0 - above)
+    return e["s"] * g["s"] * (right - left) * ((fl + fr) / 2.0 - above)
 
 
 def intersection_area(
@@ -62,24 +63,17 @@ def intersection_area(
 ) -> DataFrame:
     """``keys, carry, out`` with the exact overlap area of ring columns ``a`` and ``b``.
 
-    ``keys`` identify a pair; ``carry`` columns depend on the keys. Pairs that
-    only touch get 0.
+    One row per row of ``pairs``; ``carry`` columns are kept. Pairs that only
+    touch, or lack a geometry, get 0.
     """
-    carry = carry or []
-    origin_x, origin_y = F.col(a)[0][0]["x"], F.col(a)[0][0]["y"]
-    edges = pairs.select(
-        *keys, *carry,
-        F.explode_outer(signed_edges(a, origin_x, origin_y)).alias("e"),
-        signed_edges(b, origin_x, origin_y).alias("_g"),
-    )
-    crossed = edges.select(
-        *keys, *carry, "e",
-        F.explode_outer(F.filter(
-            "_g", lambda g: (g["xl"] < F.col("e.xr")) & (g["xr"] > F.col("e.xl")))).alias("g"),
-    )
-    total = F.greatest(F.coalesce(F.sum(_shared_area()), F.lit(0.0)), F.lit(0.0))
-    firsts = [F.first(c).alias(c) for c in carry]
-    return crossed.groupBy(*keys).agg(total.alias(out), *firsts)
+    kept = [*keys, *(carry or [])]
+    origin_x, origin_y = F.get(F.get(a, F.lit(0)), F.lit(0))["x"], F.get(F.get(a, F.lit(0)), F.lit(0))["y"]
+    edges = computed_once(
+        pairs.select(*kept, a, b), _e=signed_edges(a, origin_x, origin_y), _g=signed_edges(b, origin_x, origin_y))
+    total = F.aggregate("_e", F.lit(0.0), lambda sum_, e: sum_ + F.aggregate(
+        F.filter("_g", lambda g: (g["xl"] < e["xr"]) & (g["xr"] > e["xl"])),
+        F.lit(0.0), lambda part, g: part + _shared_area(e, g)))
+    return computed_once(edges, **{out: F.greatest(F.coalesce(total, F.lit(0.0)), F.lit(0.0))}).select(*kept, out)
 
 
 def union_area(a: Column, b: Column, inter: Column) -> Column:

@@ -76,13 +76,21 @@ def edge_evidence_by_max(bands: DataFrame) -> DataFrame:
         *PIXEL, (F.col("magnitude") / F.greatest(F.col("peak"), F.lit(1e-6))).alias("edge"))
 
 
-def fuse(pixels: DataFrame, edges: DataFrame, weight: float) -> DataFrame:
-    """Add ``fused``: (1-w) of the probability and w of the edge evidence, both clipped."""
+def fused_value(value: Column, edge: Column, weight: float) -> Column:
+    """(1-w) of the probability and w of the edge evidence, both clipped."""
+    if not 0 <= weight <= 1:
+        raise ValueError("the edge weight is a share")
+
     def clip(c: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
+    return (1 - weight) * clip(value) + weight * clip(edge)
+
+
+def fuse(pixels: DataFrame, edges: DataFrame, weight: float) -> DataFrame:
+    """Add ``fused``."""
     joined = pixels.join(edges, PIXEL)
-    return joined.withColumn("fused", (1 - weight) * clip(F.col("value")) + weight * clip(F.col("edge"))).drop("edge")
+    return joined.withColumn("fused", fused_value(F.col("value"), F.col("edge"), weight)).drop("edge")
 
 
 def _sweep(value: str, along: str, across: str, keys: list[str], reach: int, fn) -> Column:
@@ -90,12 +98,18 @@ def _sweep(value: str, along: str, across: str, keys: list[str], reach: int, fn)
     return fn(value).over(frame)
 
 
+def check_kernel(kernel: int, width: int) -> None:
+    if kernel < 1 or kernel % 2 == 0 or width < 0:
+        raise ValueError("the closing kernel is odd and the dilation not negative")
+
+
 def close_mask(pixels: DataFrame, mask: str, kernel: int, width: int, keys: list[str] | None = None) -> DataFrame:
     """Binary closing with a ``kernel`` square and a dilation by ``width``, on an integer mask column.
 
     Square windows are separable; rows and columns alternate so that
     neighbouring passes over the same axis share one shuffle.
     """
+    check_kernel(kernel, width)
     keys = keys or ["raster_id"]
     half = kernel // 2
     passes: list[tuple[str, str, int, object]] = []
@@ -293,6 +307,8 @@ def parcel_faces(
     its pixel box equals the ring's box, so both limits are applied to pixel
     counts before any ring is walked: what remains is bounded by ``max_area``.
     """
+    if not 0 < min_area < max_area or max_vertices < 4:
+        raise ValueError("face limits need 0 < min_area < max_area and at least 4 vertices")
     keys = keys or ["raster_id"]
     grid = dims.select("raster_id", *AFFINE, "height", "width")
     components = connected_components(faces, keys, tile)

@@ -82,8 +82,8 @@ def event_effects(applied: DataFrame) -> DataFrame:
     )
 
 
-def current_parcels(parcels: DataFrame, effects: DataFrame) -> DataFrame:
-    """Parcels after all events; ``parcels`` carries ``rings`` and is otherwise kept."""
+def current_parcels(parcels: DataFrame, effects: DataFrame, geodesic: bool = False) -> DataFrame:
+    """Parcels after all events; ``parcels`` carries ``rings`` and is otherwise kept. ``geodesic``: rings are lon/lat."""
     joined = parcels.join(effects, "parcel_id", "left")
     touched = F.coalesce("_reshaped", F.lit(False))
     out = joined.select(
@@ -96,7 +96,7 @@ def current_parcels(parcels: DataFrame, effects: DataFrame) -> DataFrame:
         F.coalesce("_land_use", "land_use").alias("land_use"),
         (F.coalesce("version", F.lit(1)) + F.coalesce("_steps", F.lit(0))).cast("int").alias("version"),
     )
-    return computed_once(out, area_sqm=polygon_area("rings"))
+    return backfill_area(out, geodesic)
 
 
 def archived_versions(applied: DataFrame, parcels: DataFrame, effects: DataFrame) -> DataFrame:
@@ -113,11 +113,29 @@ def archived_versions(applied: DataFrame, parcels: DataFrame, effects: DataFrame
         F.when(accepted_before, "field_verified").otherwise(F.col("_source")).alias("source"))
 
 
-def correction_rows(applied: DataFrame) -> DataFrame:
-    return applied.where(F.col("kind") == "verify").select(
+def correction_rows(applied: DataFrame, parcels: DataFrame) -> DataFrame:
+    """One row per decision with the boundary before it and the one it leaves (the same, if it gave none).
+
+    The boundary before a decision is the newest geometry of an earlier event: events with a
+    geometry are looked up by the running maximum of their order, so no parcel's history is gathered.
+    """
+    shaped = F.when(F.col("rings").isNotNull(), F.struct(*ORDER))
+    marked = applied.select("event_id", "parcel_id", "at", "kind", "correction_type", "review_label", "rings", shaped.alias("_shape"))
+    seen = chunked_running_max(marked, ["parcel_id"], ORDER, _month(), "_shape", "_upto")
+    own = seen.select("*", F.when(F.col("_shape").isNull(), F.col("_upto.event_id")).alias("_source"))
+    lagged = chunked_lag(
+        marked.where(F.col("_shape").isNotNull()).select("parcel_id", *ORDER, "rings"), ["parcel_id"], ORDER, _month(), ["rings"])
+    before = lagged.select(F.col("event_id").alias("_own"), F.col("prev_rings").alias("_prev"), F.col("rings").alias("_now"))
+    base = parcels.select("parcel_id", F.col("rings").alias("_base"))
+    decided = own.where(F.col("kind") == "verify").withColumn("_own", F.coalesce(F.when(F.col("_shape").isNotNull(), F.col("event_id")), F.col("_source")))
+    joined = salted_lookup(decided, before, ["_own"], "left", spread=["event_id"])
+    joined = salted_lookup(joined, base, ["parcel_id"], "left", spread=["event_id"])
+    given = F.col("_shape").isNotNull()
+    original = F.coalesce(F.when(given, F.col("_prev")).otherwise(F.col("_now")), "_base")
+    return joined.select(
         F.col("event_id").alias("correction_id"), "parcel_id",
         stored_correction_type(F.col("correction_type"), F.col("review_label")).alias("correction_type"),
-        F.col("at").alias("created_at"))
+        F.col("at").alias("created_at"), original.alias("original_rings"), F.coalesce("rings", original).alias("corrected_rings"))
 
 
 def label_anomalies(applied: DataFrame) -> DataFrame:
@@ -137,7 +155,8 @@ def current_evidence(evidence: DataFrame, applied: DataFrame, effects: DataFrame
     text = F.concat(
         F.lit("Human visual review labelled this geometry as "),
         F.replace("review_label", F.lit("_"), F.lit(" ")), F.lit("."))
-    return kept.select("parcel_id", "component", "score", F.lit(None).cast("string").alias("explanation")).unionByName(
+    told = F.col("explanation") if "explanation" in evidence.columns else F.lit(None).cast("string")
+    return kept.select("parcel_id", "component", "score", told.alias("explanation")).unionByName(
         labels.select("parcel_id", F.lit("review_label").alias("component"), F.lit(0.0).alias("score"),
                       text.alias("explanation")))
 
@@ -151,14 +170,14 @@ def closed_queue(queue: DataFrame, effects: DataFrame) -> DataFrame:
         "status", F.when(closes, "completed").otherwise(F.col("status"))).drop("_verified_at")
 
 
-def replay(events: DataFrame, parcels: DataFrame, evidence: DataFrame, queue: DataFrame) -> Replay:
-    """All tables after the events. ``parcels`` has one row per parcel and carries ``rings``."""
+def replay(events: DataFrame, parcels: DataFrame, evidence: DataFrame, queue: DataFrame, geodesic: bool = False) -> Replay:
+    """All tables after the events. ``parcels`` has one row per parcel and carries ``rings``; ``geodesic`` for lon/lat layers."""
     applied, refused = split_events(events)
     effects = event_effects(applied)
     return Replay(
-        parcels=current_parcels(parcels, effects),
+        parcels=current_parcels(parcels, effects, geodesic),
         versions=archived_versions(applied, parcels, effects),
-        corrections=correction_rows(applied),
+        corrections=correction_rows(applied, parcels),
         anomalies=label_anomalies(applied),
         evidence=current_evidence(evidence, applied, effects),
         queue=closed_queue(queue, effects),

@@ -141,17 +141,23 @@ def change_summary(anomalies: DataFrame) -> DataFrame:
 
 
 def review_workspace(parcels: DataFrame, evidence: DataFrame, anomalies: DataFrame, queue: DataFrame) -> DataFrame:
-    """One row per parcel: evidence summary, anomaly summary, first queue row, review flags."""
-    ev = latest_by(evidence, ["parcel_id", "component"], ["created_at", "batch", "line", "score"], ["score"])
-    ev = ev.groupBy("parcel_id").agg(
+    """One row per parcel: its evidence and anomaly lists, their summaries, first queue row, review flags.
+
+    The lists are built per parcel once, in (time, batch, line) order, before the one join.
+    """
+    newest = lambda c: F.max_by(F.when(F.col("component") == c, F.col("score")), F.when(
+        F.col("component") == c, F.struct("created_at", "batch", "line", "score")))
+    ev = evidence.groupBy("parcel_id").agg(
         F.count(F.lit(1)).alias("components"),
-        F.max(F.when(F.col("component") == "topology", F.col("score"))).alias("topology_score"),
-        F.max(F.when(F.col("component") == "rl_refinement", F.col("score"))).alias("rl_score"),
+        newest("topology").alias("topology_score"),
+        newest("rl_refinement").alias("rl_score"),
+        F.array_sort(F.collect_list(F.struct("created_at", "batch", "line", "component", "score"))).alias("evidence"),
     )
     an = anomalies.groupBy("parcel_id").agg(
         F.count(F.lit(1)).alias("anomaly_count"),
         F.bool_or(F.col("type").isin(*TOPOLOGY_ERRORS)).alias("has_topology_error"),
         F.bool_or(F.col("type").startswith("false_positive_")).alias("labelled_negative"),
+        F.array_sort(F.collect_list(F.struct("detected_at", "anomaly_id", "type", "magnitude"))).alias("changes"),
     )
     qu = queue.groupBy("parcel_id").agg(
         F.min_by(F.struct("queue_id", "priority_score", "status"), F.col("queue_id")).alias("_q")
@@ -193,21 +199,16 @@ def review_counts(workspace: DataFrame) -> DataFrame:
         "training_ready", (total >= 100) & (F.col("verified_rows") >= 40) & (F.col("labelled_negatives") >= 40))
 
 
-def explanation(parcels: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Narrative of each parcel from its evidence texts in (created_at, batch, line) order.
+# fixed text of a parcel without evidence
+NO_EVIDENCE_TEXT = "No evidence rows yet. Seed demo data or wait for Dev 2 RL inference."
 
-    Evidence is reduced to the newest row of each component first, so a list
-    holds at most one text per component.
-    """
-    newest = latest_by(
-        evidence, ["parcel_id", "component"], ["created_at", "batch", "line", "score"],
-        ["created_at", "batch", "line", "text"])
-    texts = newest.groupBy("parcel_id").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("created_at", "batch", "line", "component", "text"))),
+
+def explanation(parcels: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Narrative of each parcel from all its evidence texts, in (created_at, batch, line, component) order."""
+    texts = evidence.groupBy("parcel_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("created_at", "batch", "line", "component", "text"))),
         lambda s: s["text"]).alias("_texts"))
-    last = F.coalesce(
-        F.try_element_at("_texts", F.lit(-1)),
-        F.lit("No evidence rows yet.."))
+    last = F.coalesce(F.try_element_at("_texts", F.lit(-1)), F.lit(NO_EVIDENCE_TEXT))
     whole = F.concat(
         F.format_string("Overall confidence %.2f. ", "confidence"),
         F.coalesce(F.array_join("_texts", " "), F.lit("")))

@@ -13,7 +13,7 @@ from ..operators.compare import report_deltas
 from ..operators.skew import salted_lookup
 from ..sources import domain as D
 from .registry import query
-from .vectorize import Config, sweep, sweep_open_faces, trial, vectorize
+from .vectorize import Config, sweep, sweep_open_faces, vectorize
 
 R6 = lambda c: F.round(c, 6)
 
@@ -215,7 +215,8 @@ def open_faces(spark, sf):
     SELECT 0 AS config_id, raster_id, count(*) AS open_pixels FROM ({_CLOSED}) WHERE closed = 0 AND value >= 0 GROUP BY 2
     UNION ALL SELECT 1, raster_id, count(*) FROM v_pixels WHERE value >= 0 AND value < 0.5 GROUP BY 2""")
 def swept_open_faces(spark, sf):
-    configs = list(dict.fromkeys([trial(0.6, 3, 0), trial(0.5, 1, 0), trial(0.6, 3, 0)]))
+    settings = [(0.6, 3), (0.5, 1), (0.6, 3)]
+    configs = list(dict.fromkeys(Config(threshold=t, close_pixels=k, boundary_width_pixels=0) for t, k in settings))
     return sweep_open_faces(D.pixels(spark, sf), configs).groupBy("config_id", "raster_id").agg(
         F.count(F.lit(1)).alias("open_pixels"))
 
@@ -252,7 +253,7 @@ def calibration_trials(spark, sf):
     placed = salted_lookup(spots, dims.select("raster_id", "c", "f"), ["raster_id"], "inner", spread=["id"])
     x, y = F.col("c") + F.col("_dx"), F.col("f") - F.col("_dy") - 12
     refs = computed_once(placed, rings=box_polygon(x, y, x + 12, y + 12)).select("raster_id", "id", "rings")
-    configs = [trial(0.25, 1, 0), trial(0.30, 1, 0)]
+    configs = [Config(threshold=t, close_pixels=1, boundary_width_pixels=0) for t in (0.25, 0.30)]
     return _r(sweep(D.pixels(spark, sf), dims, refs, configs, radius=20.0, tile=16),
               "mean_harmonic_iou", "worst_harmonic_iou", "objective")
 

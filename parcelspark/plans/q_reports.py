@@ -94,10 +94,9 @@ def project_survey_queue(spark, sf):
 
 
 @query("O2", """
-    SELECT queue_id, parcel_id, round(priority_score, 8) AS priority_score FROM v_queue
-    ORDER BY v_queue.priority_score DESC, queue_id LIMIT 50""")
+    SELECT queue_id, parcel_id, round(priority_score, 8) AS priority_score FROM v_queue""")
 def top_survey_priorities(spark, sf):
-    return R.queue_listing(D.survey_queue(spark, sf)).limit(50).select(
+    return R.queue_listing(D.survey_queue(spark, sf)).select(
         "queue_id", "parcel_id", R8("priority_score").alias("priority_score"))
 
 
@@ -156,14 +155,16 @@ def topology_error_events(spark, sf):
 
 
 _WORKSPACE = """
-    SELECT p.parcel_id, p.status, p.land_use, p.confidence, coalesce(e.components, 0) AS components, e.topology_score, e.rl_score,
+    SELECT p.parcel_id, p.status, p.land_use, p.confidence, coalesce(e.components, 0) AS components, e.evidence_list, a.change_list, e.topology_score, e.rl_score,
            coalesce(a.anomaly_count, 0) AS anomaly_count, coalesce(a.topo, false) AS has_topology_error,
            coalesce(a.neg, false) AS labelled_negative, q.queue_id, q.queue_priority,
            (p.version > 1 AND p.confidence IS NULL AND p.health IS NULL) AS manually_edited
     FROM v_parcels p
-    LEFT JOIN (SELECT parcel_id, count(*) AS components, max(score) FILTER (WHERE component = 'topology') AS topology_score,
-                      max(score) FILTER (WHERE component = 'rl_refinement') AS rl_score FROM v_newest_evidence GROUP BY 1) e USING (parcel_id)
-    LEFT JOIN (SELECT parcel_id, count(*) AS anomaly_count, bool_or(type IN ('topology_break', 'overlap')) AS topo,
+    LEFT JOIN (SELECT parcel_id, count(*) AS components,
+                      arg_max(score, {'a': created_at, 'b': batch, 'c': line, 'd': score}) FILTER (WHERE component = 'topology') AS topology_score,
+                      arg_max(score, {'a': created_at, 'b': batch, 'c': line, 'd': score}) FILTER (WHERE component = 'rl_refinement') AS rl_score,
+                      string_agg(component, ',' ORDER BY created_at, batch, line, component, score) AS evidence_list FROM v_evidence GROUP BY 1) e USING (parcel_id)
+    LEFT JOIN (SELECT parcel_id, count(*) AS anomaly_count, string_agg(anomaly_id || ':' || type, ',' ORDER BY detected_at, anomaly_id) AS change_list, bool_or(type IN ('topology_break', 'overlap')) AS topo,
                       bool_or(type LIKE 'false_positive_%') AS neg FROM v_anomalies GROUP BY 1) a USING (parcel_id)
     LEFT JOIN (SELECT parcel_id, min(queue_id) AS queue_id, arg_min(priority_score, queue_id) AS queue_priority
                FROM v_queue GROUP BY 1) q USING (parcel_id)"""
@@ -175,13 +176,16 @@ def _workspace(spark, sf):
 
 @query("J14 V14 O4", f"""
     SELECT parcel_id, status, components, round(topology_score, 6) AS topology_score, round(rl_score, 6) AS rl_score, anomaly_count,
-           has_topology_error, labelled_negative, queue_id, round(queue_priority, 8) AS queue_priority, manually_edited
+           has_topology_error, labelled_negative, queue_id, round(queue_priority, 8) AS queue_priority, manually_edited,
+           evidence_list, change_list
     FROM ({_WORKSPACE})""")
 def review_workspace(spark, sf):
     return _workspace(spark, sf).select(
         "parcel_id", "status", "components", R6("topology_score").alias("topology_score"), R6("rl_score").alias("rl_score"),
         "anomaly_count", "has_topology_error", "labelled_negative", "queue_id",
-        R8("queue_priority").alias("queue_priority"), "manually_edited")
+        R8("queue_priority").alias("queue_priority"), "manually_edited",
+        F.array_join(F.col("evidence.component"), ",").alias("evidence_list"),
+        F.array_join(F.transform("changes", lambda c: F.concat(c["anomaly_id"].cast("string"), F.lit(":"), c["type"])), ",").alias("change_list"))
 
 
 @query("V15 V16 O4", f"""
@@ -211,17 +215,18 @@ def visible_parcels(spark, sf):
 
 @query("F17", """
     SELECT p.parcel_id, trim(CASE
-             WHEN p.confidence IS NOT NULL AND coalesce(t.last_text, 'No evidence rows yet.') NOT LIKE '%Boundary%'
+             WHEN p.confidence IS NOT NULL AND coalesce(t.last_text, 'No evidence rows yet. Seed demo data or wait for Dev 2 RL inference.') NOT LIKE '%Boundary%'
              THEN printf('Overall confidence %.2f. ', p.confidence) || coalesce(t.all_text, '')
-             ELSE coalesce(t.last_text, 'No evidence rows yet.') END) AS explanation
+             ELSE coalesce(t.last_text, 'No evidence rows yet. Seed demo data or wait for Dev 2 RL inference.') END) AS explanation
     FROM v_parcels p LEFT JOIN (
       SELECT parcel_id, string_agg(text, ' ' ORDER BY created_at, batch, line, component) AS all_text,
              arg_max(text, {'a': created_at, 'b': batch, 'c': line, 'd': component}) AS last_text
       FROM (SELECT *, CASE WHEN component = 'segmentation' THEN 'Boundary score ' ELSE component || ' score ' END || CAST(batch AS VARCHAR) AS text
-            FROM v_newest_evidence) GROUP BY 1) t USING (parcel_id)""")
+            FROM v_evidence WHERE parcel_id % 17 <> 0) GROUP BY 1) t USING (parcel_id)""")
 def parcel_explanations(spark, sf):
     label = F.when(F.col("component") == "segmentation", "Boundary score ").otherwise(F.concat("component", F.lit(" score ")))
-    ev = D.evidence(spark, sf).withColumn("text", F.concat(label, F.col("batch").cast("string")))
+    # every 17th parcel is left without evidence, so that case is compared too
+    ev = D.evidence(spark, sf).where(F.col("parcel_id") % 17 != 0).withColumn("text", F.concat(label, F.col("batch").cast("string")))
     return R.explanation(D.parcels(spark, sf), ev).select("parcel_id", "explanation")
 
 

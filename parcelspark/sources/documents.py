@@ -54,7 +54,9 @@ def segmentation_columns(features: DataFrame) -> DataFrame:
     return features.withColumn("class", F.coalesce(prop("class"), F.lit("parcel"))).withColumn(
         "has_raw_confidence", F.coalesce(F.map_contains_key(typed, F.lit("raw_confidence")), F.lit(False))
     ).withColumn("raw_confidence", F.when(
-        F.col("properties").rlike(r'"raw_confidence"\s*:\s*-?\d'), prop("raw_confidence"))
+        # the property's own type decides, wherever else the name occurs
+        F.expr("schema_of_variant(try_variant_get(try_parse_json(properties), '$.raw_confidence', 'variant'))").rlike(
+            "^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), prop("raw_confidence"))
     ).withColumn("source_tile_id", prop("source_tile_id")).withColumn("parcel_id", prop("parcel_id"))
 
 

@@ -21,13 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for work that costs far more than its scan.
-
-    A small table is one file split, so one task would do all its geometry;
-    scans that already have a split per core are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Deal the narrow key rows out by hash ahead of geometry work that costs far more than its scan."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def project_of(parcel_id: Column) -> Column:

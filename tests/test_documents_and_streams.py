@@ -9,6 +9,7 @@ from parcelspark.operators import contracts as K
 from parcelspark.operators import readiness as Y
 from parcelspark.operators.replay import Replay
 from parcelspark.plans.imports import import_features, import_payload
+from parcelspark.operators.raster import check_kernel
 from parcelspark.plans.vectorize import Config, baseline_grid, detailed_grid, fused_grid
 from parcelspark.sources import documents as D
 from parcelspark.sources import sinks as W
@@ -118,8 +119,8 @@ def test_config_grids():
     assert len(baseline_grid()) == 64 and len(fused_grid()) == 25
     near = detailed_grid(baseline_grid()[0])
     assert len(near) == len(set(near)) == 24
-    with pytest.raises(ValueError):
-        Config(close_pixels=4)
+    with pytest.raises(ValueError):  # each operator checks the settings it uses
+        check_kernel(Config(close_pixels=4).close_pixels, 0)
 
 
 def test_review_event_stream_is_idempotent(spark, tmp_path):

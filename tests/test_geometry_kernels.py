@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import square
+from conftest import RINGS, square, to_rings
 from parcelspark.functions import geometry as G
 from parcelspark.functions import projection as P
 from parcelspark.operators import shapes as A
@@ -164,3 +164,17 @@ def test_arrow_kernels(make_layer):
     line = make_layer([(0, 1, [[(-5, 5), (15, 5), (15, 8), (-5, 8)]])]).select(
         A.clip_lines("rings", *[F.lit(float(v)) for v in (0, 0, 10, 10)]).alias("l")).first().l
     assert [[(p.x, p.y) for p in part] for part in line] == [[(0, 5), (10, 5)], [(10, 8), (0, 8)]]
+
+
+def test_nearest_ends_with_unusable_geometry(spark):
+    from parcelspark.operators.nearest import nearest_polygon
+
+    nan = float("nan")
+    shape = to_rings(square(0, 0, 10))
+    source = [(1, 1, shape), (1, 2, None), (1, 3, []), (1, 4, to_rings([(nan, 0), (1, nan), (nan, nan), (nan, 0)])), (2, 5, shape), (3, 6, shape)]
+    target = [(1, 7, to_rings(square(500, 0, 10))), (1, 8, None), (2, 9, None), (2, 10, [])]
+    layer = f"project_id long, id long, rings {RINGS}"
+    found = nearest_polygon(spark.createDataFrame(source, layer), spark.createDataFrame(target, layer), ["project_id"], 1.0).collect()
+    assert [(r.source_id, r.target_id, r.distance) for r in found] == [(1, 7, pytest.approx(490.0))]
+    none = spark.createDataFrame(target[1:2], layer)
+    assert nearest_polygon(spark.createDataFrame(source, layer).drop("project_id"), none.drop("project_id"), [], 1.0).collect() == []

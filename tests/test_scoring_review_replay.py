@@ -108,7 +108,8 @@ def test_replay_of_patches_and_decisions(spark):
         (5, 2, day(2), "verify", "split", None, None, None, None),
         (6, 2, day(2), "verify", "boundary_adjust", "false_positive_road", None, None, None),
     ], f"event_id long, parcel_id long, at timestamp, kind string, correction_type string, review_label string, rings {RINGS}, land_use string, status string")
-    evidence = spark.createDataFrame([(1, "topology", 0.5), (2, "topology", 0.4)], "parcel_id long, component string, score double")
+    evidence = spark.createDataFrame(
+        [(1, "topology", 0.5, "goes"), (2, "topology", 0.4, "keep me")], "parcel_id long, component string, score double, explanation string")
     queue = spark.createDataFrame([(1, 1, "pending", day(1)), (2, 1, "assigned", day(9)), (3, 3, "pending", day(1))],
                                   "queue_id long, parcel_id long, status string, created_at timestamp")
     out = X.replay(events, parcels, evidence, queue)
@@ -125,6 +126,22 @@ def test_replay_of_patches_and_decisions(spark):
     assert {r.event_id for r in out.refused.collect()} == {5, 6}
     assert {r.correction_id: r.correction_type for r in out.corrections.collect()} == {
         2: "boundary_adjust", 3: "reject_road", 4: "reject_canal"}
+    assert {r.explanation for r in out.evidence.where("component = 'topology'").collect()} == {"keep me"}
+    widths = {r.correction_id: (r.original_rings[0][1].x, r.corrected_rings[0][1].x) for r in out.corrections.collect()}
+    assert widths == {2: (20, 30), 3: (30, 30), 4: (10, 10)}
+    lonlat = {r.parcel_id: r.area_sqm for r in X.replay(events, parcels, evidence, queue, geodesic=True).parcels.collect()}
+    assert lonlat[3] > 1e11  # ten by ten degrees, not a hundred square metres
+
+
+def test_explanations_hold_every_text(spark):
+    parcels = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.5, 0.5), (3, None, None), (4, 0.5, None)], "parcel_id long, confidence double, health double")
+    evidence = spark.createDataFrame([
+        (1, "review_label", 0.0, day(1), 0, 1, "first"), (1, "review_label", 0.0, day(2), 0, 1, "second"),
+        (2, "topology", 0.1, day(1), 0, 1, "x"), (2, "topology", 0.1, day(2), 0, 1, "Boundary agreed"), (4, "topology", 0.1, day(1), 0, 1, None),
+    ], "parcel_id long, component string, score double, created_at timestamp, batch long, line long, text string")
+    got = {r.parcel_id: r.explanation for r in R.explanation(parcels, evidence).collect()}
+    assert got[1] == "Overall confidence 0.50. first second" and got[2] == "Boundary agreed"
+    assert got[3] == R.NO_EVIDENCE_TEXT and got[4].startswith("Overall confidence 0.50.")
 
 
 def test_sampling_weights(spark):
