@@ -197,14 +197,17 @@ def assignment_verdicts(assigns: DataFrame, queue: DataFrame, decisions: DataFra
     placed = salted_lookup(assigns, row, ["queue_id"], "left", spread=["event_id"])
     known = users.select(F.col("user_id").alias("assigned_to"), F.lit(True).alias("_known"))
     placed = salted_lookup(placed, known, ["assigned_to"], "left", spread=["event_id"])
-    timeline = placed.select(
+    # an assignment to an unknown row has no parcel and no decisions before it
+    lost = placed.where(F.col("parcel_id").isNull()).withColumn("_last_decision", F.lit(None).cast("timestamp"))
+    timeline = placed.where(F.col("parcel_id").isNotNull()).select(
         "parcel_id", "at", "event_id", "queue_id", "assigned_to", "_stored", "created_at", "_known",
         F.lit(None).cast("timestamp").alias("_decided")
     ).unionByName(decisions.select(
         "parcel_id", "at", "event_id", F.col("at").alias("_decided")), allowMissingColumns=True)
     seen = chunked_running_max(timeline, ["parcel_id"], ["at", "event_id"], _month(), "_decided", "_last_decision")
-    # decisions are not assignments; an assignment to an unknown row has no parcel
-    asked = seen.where(F.col("_decided").isNull())
+    # decisions are not assignments
+    asked = seen.where(F.col("_decided").isNull()).drop("_decided").unionByName(lost.select(
+        "parcel_id", "at", "event_id", "queue_id", "assigned_to", "_stored", "created_at", "_known", "_last_decision"))
     why = (
         F.when(F.col("_stored").isNull(), "Queue item not found")
         .when(F.col("assigned_to").isNotNull() & F.col("_known").isNull(), "Assignee must be an existing user ID")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_SALT = 1_000_000
+# Rows without a key are spread over so many tasks.
+NULL_SALTS = 4096
 
 
 def salted_lookup(
@@ -37,9 +39,12 @@ def salted_lookup(
     )
     hot = F.broadcast(hot)
     row_hash = F.pmod(F.xxhash64(*(spread or facts.columns)), F.col("_salts")).cast("int")
+    # null keys match nothing, so they may be dealt out anywhere
+    keyless = F.expr(" or ".join(f"`{k}` is null" for k in on))
+    anywhere = F.pmod(F.xxhash64(*(spread or facts.columns)), F.lit(NULL_SALTS)).cast("int")
     salted = (
         facts.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(row_hash))
+        .withColumn("_salt", F.when(keyless, anywhere).when(F.col("_salts").isNull(), 0).otherwise(row_hash))
         .drop("_salts")
     )
     copies = (
