@@ -170,17 +170,35 @@ def closed_queue(queue: DataFrame, effects: DataFrame) -> DataFrame:
         "status", F.when(closes, "completed").otherwise(F.col("status"))).drop("_verified_at")
 
 
-def replay(events: DataFrame, parcels: DataFrame, evidence: DataFrame, queue: DataFrame, geodesic: bool = False) -> Replay:
-    """All tables after the events. ``parcels`` has one row per parcel and carries ``rings``; ``geodesic`` for lon/lat layers."""
-    applied, refused = split_events(events)
+def replay(
+    events: DataFrame, parcels: DataFrame, evidence: DataFrame, queue: DataFrame, geodesic: bool = False,
+    users: DataFrame | None = None,
+) -> Replay:
+    """All tables after the events. ``parcels`` has one row per parcel and carries ``rings``; ``geodesic`` for lon/lat layers.
+
+    With ``users``, events of kind ``assign`` (``queue_id``, ``assigned_to``) are applied too: an
+    assignment is judged against the decisions before it, and a decision after it completes the row.
+    """
+    reviews = events.where(F.col("kind") != "assign")
+    applied, refused = split_events(reviews)
     effects = event_effects(applied)
+    assigned = queue
+    if users is not None:
+        decisions = applied.where(F.col("kind") == "verify").select("parcel_id", "at", "event_id")
+        verdicts = assignment_verdicts(
+            events.where(F.col("kind") == "assign").select("event_id", "queue_id", "assigned_to", "at"), queue, decisions, users)
+        assigned = assigned_queue(queue, verdicts)
+        of = queue.select("queue_id", "parcel_id")
+        turned_down = verdicts.where(F.col("refusal").isNotNull()).select("event_id", "queue_id", "refusal")
+        refused = refused.unionByName(salted_lookup(turned_down, of, ["queue_id"], "left", spread=["event_id"]).select(
+            "event_id", "parcel_id", "refusal"))
     return Replay(
         parcels=current_parcels(parcels, effects, geodesic),
         versions=archived_versions(applied, parcels, effects),
         corrections=correction_rows(applied, parcels),
         anomalies=label_anomalies(applied),
         evidence=current_evidence(evidence, applied, effects),
-        queue=closed_queue(queue, effects),
+        queue=closed_queue(assigned, effects),
         refused=refused,
     )
 

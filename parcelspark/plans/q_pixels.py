@@ -464,9 +464,10 @@ def trial_summaries(spark, sf):
     return _r(L.trial_summary(_trials(spark, sf)), "mean_harmonic_iou", "worst_harmonic_iou", "objective")
 
 
-@query("W5", f"SELECT config_id, round(objective, 6) AS objective FROM ({_TRIALS.replace('>= 1', '>= -500')}) t WHERE viable ORDER BY t.objective DESC, config_id LIMIT 1")
+@query("W5", f"SELECT config_id, round(objective, 6) AS objective FROM ({_TRIALS.replace('>= 1', '>= 0')}) t WHERE viable ORDER BY t.objective DESC, config_id LIMIT 1")
 def selected_trial(spark, sf):
-    rows = _trials(spark, sf).withColumn("candidate_count", F.col("candidate_count") + 501)
+    # one more candidate each, so that all trials but the unviable one of configuration 7 are in the running
+    rows = _trials(spark, sf).withColumn("candidate_count", F.col("candidate_count") + 1)
     return _r(L.best_trial(L.trial_summary(rows)), "objective").select("config_id", "objective")
 
 
@@ -476,36 +477,42 @@ def distinct_configurations(spark, sf):
     return L.distinct_configurations(rows, ["threshold", "profile"])
 
 
-_GATE = f"({_metrics_sql('raster_id', [0.3])})", f"({_metrics_sql('raster_id', [0.5])})"
+_GATE = [f"({_metrics_sql('raster_id', [t])})" for t in (0.3, 0.5, 0.6, 0.4)]
 
 
 def _gate_pair(spark, sf):
     labels = D.pixel_labels(spark, sf)
-    both = P.threshold_metrics(labels, ["raster_id"], [0.3, 0.5])
+    swept = P.threshold_metrics(labels, ["raster_id"], [0.3, 0.5, 0.6, 0.4])
     pack = F.struct(*_METRICS)
-    # one row per raster and threshold: two thresholds meet on the raster id
-    return both.groupBy("raster_id").agg(
-        F.max(F.when(F.col("threshold") == 0.3, pack)).alias("c"), F.max(F.when(F.col("threshold") == 0.5, pack)).alias("b"))
+    # one row per raster and threshold meet on the raster id: validation and test, candidate and baseline
+    return swept.groupBy("raster_id").agg(*[
+        F.max(F.when(F.col("threshold") == t, pack)).alias(n) for n, t in (("c", 0.3), ("b", 0.5), ("ct", 0.6), ("bt", 0.4))])
 
 
 @query("F12 F13 F14 J26", f"""
     SELECT c.raster_id, c.boundary_iou > b.boundary_iou AND c.boundary_f1 > b.boundary_f1 AND c.precision >= 0.98 * b.precision
              AND c.false_positive_rate <= b.false_positive_rate AS validation_gate,
            round(c.boundary_iou + 0.25 * c.boundary_f1 + 0.10 * c.precision - 0.05 * c.false_positive_rate, 6) AS checkpoint_score,
-           c.boundary_iou > b.boundary_iou AND c.boundary_f1 > b.boundary_f1 AND b.boundary_iou > c.boundary_iou AS pixel_gate,
-           c.boundary_iou - b.boundary_iou > 0 AND c.recall - b.recall > 0 AS selection_eligible,
-           c.boundary_iou - b.boundary_iou > 0 AND c.recall - b.recall > 0 AND b.false_positive_rate - c.false_positive_rate < 0 AS final_eligible
-    FROM {_GATE[0]} c JOIN {_GATE[1]} b USING (raster_id)""")
+           c.raster_id % 5 <> 0 AND c.boundary_iou > b.boundary_iou AND c.boundary_f1 > b.boundary_f1 AND ct.boundary_iou > bt.boundary_iou
+             AND ct.boundary_f1 > bt.boundary_f1 AND ct.precision >= 0.95 * bt.precision AND ct.false_positive_rate < bt.false_positive_rate AS pixel_gate,
+           c.boundary_iou - b.boundary_iou > 0 AND c.boundary_f1 - b.boundary_f1 > 0 AND c.raster_id % 3 <> 1 AND c.raster_id % 4 <> 3 AS selection_eligible,
+           c.boundary_iou - b.boundary_iou > 0 AND c.boundary_f1 - b.boundary_f1 > 0 AND c.raster_id % 3 <> 1 AND c.raster_id % 4 <> 3
+             AND ct.boundary_iou - bt.boundary_iou > 0 AND ct.false_positive_rate - bt.false_positive_rate < 0 AND ct.boundary_f1 - bt.boundary_f1 > 0 AS final_eligible
+    FROM {_GATE[0]} c JOIN {_GATE[1]} b USING (raster_id) JOIN {_GATE[2]} ct USING (raster_id) JOIN {_GATE[3]} bt USING (raster_id)""")
 def promotion_gates(spark, sf):
     rows = _gate_pair(spark, sf)
-    c, b = F.col("c"), F.col("b")
-    gain = c["boundary_iou"] - b["boundary_iou"]
-    selected = S.selection_eligible(gain, c["recall"] - b["recall"], F.lit(0), F.lit(0))
+    c, b, ct, bt = F.col("c"), F.col("b"), F.col("ct"), F.col("bt")
+    # invalid and overlapping faces, and a broken chain, come from the raster's number
+    invalid, overlapping = (F.col("raster_id") % 3 == 1).cast("int"), (F.col("raster_id") % 4 == 3).cast("int")
+    selected = S.selection_eligible(
+        c["boundary_iou"] - b["boundary_iou"], c["boundary_f1"] - b["boundary_f1"], invalid, overlapping)
     return rows.select(
         "raster_id", S.validation_gate(c, b).alias("validation_gate"),
         R6(S.checkpoint_score(c["boundary_iou"], c["boundary_f1"], c["precision"], c["false_positive_rate"])).alias("checkpoint_score"),
-        S.pixel_promotion_gate(F.lit(True), c, b, b, c).alias("pixel_gate"), selected.alias("selection_eligible"),
-        S.final_promotion_eligible(selected, gain, b["false_positive_rate"] - c["false_positive_rate"], gain).alias("final_eligible"))
+        S.pixel_promotion_gate(F.col("raster_id") % 5 != 0, c, b, ct, bt).alias("pixel_gate"), selected.alias("selection_eligible"),
+        S.final_promotion_eligible(
+            selected, ct["boundary_iou"] - bt["boundary_iou"], ct["false_positive_rate"] - bt["false_positive_rate"],
+            ct["boundary_f1"] - bt["boundary_f1"]).alias("final_eligible"))
 
 
 @query("F15 J26 S4", f"""

@@ -6,6 +6,7 @@ from ..functions import formats, scoring as S
 from ..operators import reports as R
 from ..operators import skew
 from ..sources import domain as D
+from ..streaming import events
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
@@ -261,3 +262,12 @@ def snapshot_counts(spark, sf):
 def confidence_quantiles(spark, sf):
     q = skew.exact_quantiles(D.parcels(spark, sf), ["project_id"], "confidence", {"median_confidence": 0.5, "p99_confidence": 0.99})
     return q.select("project_id", R6("median_confidence").alias("median_confidence"), R6("p99_confidence").alias("p99_confidence"))
+
+
+@query("X2", """
+    SELECT strftime(a.detected_at, '%Y-%m-%d') AS day, a.type, p.project_id, count(*) AS events
+    FROM v_anomalies a LEFT JOIN v_parcels p USING (parcel_id) WHERE a.detected_at IS NOT NULL GROUP BY 1, 2, 3""")
+def daily_anomaly_counts(spark, sf):
+    """The streaming aggregate on the batch table."""
+    rows = events.daily_anomaly_counts(D.anomalies(spark, sf), D.parcels(spark, sf))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "type", "project_id", "events")

@@ -123,31 +123,58 @@ def test_config_grids():
         check_kernel(Config(close_pixels=4).close_pixels, 0)
 
 
-def test_review_event_stream_is_idempotent(spark, tmp_path):
-    old, new = to_rings(square(0, 0, 10)), to_rings(square(0, 0, 20))
+def stream_base(spark):
+    old = to_rings(square(0, 0, 10))
     parcels = spark.createDataFrame(
-        [(1, 0, old, "ai_extracted", "needs_review", 0.9, 0.8, "forest", 1)],
+        [(1, 0, old, "ai_extracted", "needs_review", 0.9, 0.8, "forest", 1), (2, 0, old, "ai_extracted", "needs_review", 0.9, 0.8, "forest", 1)],
         f"parcel_id long, project_id long, rings {RINGS}, source string, status string, confidence double, health double, land_use string, version int")
-    evidence = spark.createDataFrame([(1, "topology", 0.5)], "parcel_id long, component string, score double")
-    queue = spark.createDataFrame([(1, 1, "pending", datetime(2024, 1, 1))], "queue_id long, parcel_id long, status string, created_at timestamp")
-    base = Replay(parcels, None, None, None, evidence, queue, None)
-    src, root, chk = (str(tmp_path / n) for n in ("src", "root", "chk"))
+    evidence = spark.createDataFrame([(1, "topology", 0.5, "goes"), (2, "topology", 0.5, "stays")], "parcel_id long, component string, score double, explanation string")
+    queue = spark.createDataFrame(
+        [(1, 1, "pending", None, datetime(2024, 1, 1)), (2, 2, "pending", None, datetime(2024, 1, 1))],
+        "queue_id long, parcel_id long, status string, assigned_to long, created_at timestamp")
+    return Replay(parcels, None, None, None, evidence, queue, None)
+
+
+def event(number, parcel, day_, kind, correction=None, rings=None, queue=None, who=None):
+    at = datetime(2024, 1, day_) if isinstance(day_, int) else day_
+    return (number, parcel, at, kind, correction, None, rings, None, None, queue, who)
 
-    def push(n, *rows):
+
+def pushed(spark, tmp_path, batches):
+    src, root, chk = (str(tmp_path / n) for n in ("src", "root", "chk"))
+    base = stream_base(spark)
+    users = spark.createDataFrame([(7, "a"), (8, "b")], "user_id long, name string")
+    for rows in batches:
         spark.createDataFrame(list(rows), E.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
-        q = E.replay_stream(E.read_events(spark, src), chk, root, lambda: base)
-        q.awaitTermination()
+        E.replay_stream(E.read_events(spark, src), chk, root, lambda: base, lambda: users).awaitTermination()
+    return root, base
 
-    first = (1, 1, datetime(2024, 1, 2), "patch", None, None, new, None, None)
-    push(0, first)
-    push(1, first, (2, 1, datetime(2024, 1, 3), "verify", "boundary_adjust", None, None, None, None))
-    import os
 
-    last = max(int(d.split("=")[1]) for d in os.listdir(root + "/parcels"))
-    row = spark.read.parquet(f"{root}/parcels/batch={last}").first()
+def test_review_event_stream_is_idempotent(spark, tmp_path):
+    first = event(1, 1, 2, "patch", rings=to_rings(square(0, 0, 20)))
+    root, base = pushed(spark, tmp_path, [[first], [first, event(2, 1, 3, "verify", "boundary_adjust")]])
+    row = E.current(spark, root, "parcels").where("parcel_id = 1").first()
     # the repeated event id is dropped: one patch and one decision
     assert (row.status, row.version, row.area_sqm, row.source) == ("verified", 3, 400, "field_verified")
-    assert spark.read.parquet(f"{root}/queue/batch={last}").first().status == "completed"
+    assert E.current(spark, root, "queue").where("parcel_id = 1").first().status == "completed"
+    whole = {r.parcel_id: r.status for r in E.current(spark, root, "queue", base.queue).collect()}
+    assert whole == {1: "completed", 2: "pending"}
+    assert [r.explanation for r in E.current(spark, root, "evidence", base.evidence).collect()] == ["stays"]
+
+
+def test_late_events_and_assignments_keep_their_order(spark, tmp_path):
+    verify = event(1, 1, datetime(2024, 1, 2, 12), "verify", "boundary_adjust")
+    late = event(2, 1, datetime(2024, 1, 2, 6), "verify", "reject")
+    root, base = pushed(spark, tmp_path, [
+        [verify, event(3, None, 2, "assign", queue=2, who=7)],
+        [late, verify, event(4, None, 3, "assign", queue=1, who=7), event(5, None, 3, "assign", queue=2, who=99), event(6, None, 3, "assign", queue=50, who=7)],
+    ])
+    row = E.current(spark, root, "parcels").where("parcel_id = 1").first()
+    assert (row.status, row.version) == ("verified", 3)  # the reject came before, though it arrived later
+    queue = {r.queue_id: (r.status, r.assigned_to) for r in E.current(spark, root, "queue", base.queue).collect()}
+    assert queue == {1: ("completed", None), 2: ("assigned", 7)}
+    refused = {r.event_id for r in spark.read.parquet(root + "/refused").collect()}
+    assert refused == {4, 5, 6}
 
 
 def test_anomaly_count_stream(spark, tmp_path):
