@@ -50,7 +50,7 @@ def merge_sorted(ext: Extensions, start: np.ndarray, length: np.ndarray, group_s
         c = ext.common(start[a], start[b], limit)
         x = np.where(c < length[a], ext.data[np.minimum(start[a] + c, len(ext.data) - 1)].astype(np.int64), -1)
         y = np.where(c < length[b], ext.data[np.minimum(start[b] + c, len(ext.data) - 1)].astype(np.int64), -1)
-        return np.sign(x - y)
+        return (x > y).astype(np.int8) - (x < y)  # a difference of numbered tokens could overflow
 
     width, largest = 1, int(group_size.max(initial=0))
     slot = np.arange(n)

@@ -108,6 +108,19 @@ def test_common_windows_of_anchors():
             assert (least[i], most[i]) == ((found[0], found[-1]) if found else (-1, -1)), (trial, i)
 
 
+def test_suffixes_of_large_numbers_are_sorted():
+    rng = np.random.default_rng(3)
+    data = rng.choice(rng.integers(0, 1 << 64, 6, dtype=np.uint64), 600)
+    start = np.arange(0, 560)
+    group = np.zeros(560, np.int64)
+    order, common = suffixes.merge_sorted(
+        suffixes.Extensions(data, powers(BYTE_BASE, 1024)), start, np.full(560, 40), group, np.full(560, 560))
+    rows = [tuple(data[i:i + 40].astype(np.int64).tolist()) for i in order]
+    assert sorted(order.tolist()) == list(range(560)) and rows == sorted(rows)
+    for a, b, n in zip(rows, rows[1:], common[1:], strict=False):
+        assert a[:n] == b[:n] and (n == 40 or a[n] != b[n])
+
+
 def test_a_false_hash_is_found_out(monkeypatch):
     """With hashes that call everything equal the result still rests on the bytes."""
     monkeypatch.setattr(suffixes.Extensions, "common", lambda self, a, b, limit: limit.copy())
