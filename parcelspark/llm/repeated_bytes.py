@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, byte_rows, mixed, powers, runs_by_bytes, stored
+from .crowded import crowded_intervals
 from .suffixes import covered_lengths
 from .words import BYTE_BASE
 
 LENGTH = 400
 GRAM = 48
-# Anchors of one key up to this many distinct contexts are sorted in one piece; more are counted window by window.
+# Anchors of one key up to this many distinct contexts are sorted in one piece; more are sorted over all tasks.
 GROUP_LIMIT = 1024
 CHUNK_BYTES = 1 << 19
 
@@ -140,10 +141,14 @@ def _segment_batch(out):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "doc_id", "text_key", "start", "before", "bytes"])
 
 
+COMPARED = "key long, doc_id long, text_key long, start int, end int, hot boolean, left binary, right binary"
+COMPARED_NAMES = [c.split()[0] for c in COMPARED.split(", ")]
+
+
 def _compare_groups(length: int, limit: int):
     """Stream over segments sorted by key; groups over ``limit`` are passed on with their bytes."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-    names = ["doc_id", "text_key", "start", "end", "hot", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+    names = COMPARED_NAMES
 
     def kernel(batches):
         # one more group than a chunk may come in before a chunk is compared
@@ -161,15 +166,18 @@ def _compare_groups(length: int, limit: int):
             least, most, _ = covered_lengths(data, begin + before, before, lengths - before, np.array([r[0] for r in rows]), length, up_down)
             own = np.flatnonzero(most >= 0)
             at = np.array([r[1][3] for r in rows], np.int64) + before
+            none = pa.array([None] * len(own), kinds[6])
             return pa.RecordBatch.from_arrays([
-                pa.array([rows[i][1][1] for i in own], kinds[0]), pa.array([rows[i][1][2] for i in own], kinds[1]),
+                pa.array([rows[i][1][0] for i in own], kinds[0]), pa.array([rows[i][1][1] for i in own], kinds[0]),
+                pa.array([rows[i][1][2] for i in own], kinds[0]),
                 pa.array((at[own] - most[own]).astype(np.int32)), pa.array((at[own] + length - least[own]).astype(np.int32)),
-                pa.array(np.zeros(len(own), bool)), pa.array([None] * len(own), kinds[5])], names)
+                pa.array(np.zeros(len(own), bool)), none, none], names)
 
         def passed_on(rows):
+            at = pa.array([r[3] + r[4] for r in rows], kinds[3])
             return pa.RecordBatch.from_arrays([
-                pa.array([r[1] for r in rows], kinds[0]), pa.array([r[2] for r in rows], kinds[1]), pa.array([r[3] for r in rows], kinds[2]),
-                pa.array([r[3] + len(r[5]) for r in rows], kinds[3]), pa.array([True] * len(rows)), pa.array([r[5] for r in rows], kinds[5])], names)
+                *(pa.array([r[k] for r in rows], kinds[k]) for k in range(3)), at, at, pa.array([True] * len(rows)),
+                pa.array([r[5][:r[4]][::-1] for r in rows], kinds[6]), pa.array([r[5][r[4]:] for r in rows], kinds[7])], names)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -199,24 +207,6 @@ def _compare_groups(length: int, limit: int):
     return kernel
 
 
-def _window_keys(length: int):
-    """One 128-bit key for every window of a segment, in pieces of bounded size."""
-
-    def kernel(batches):
-        from xxhash import xxh3_128_digest
-
-        for batch in batches:
-            ids, keys, starts = (batch.column(k).to_pylist() for k in range(3))
-            for doc_id, text_key, start, segment in zip(ids, keys, starts, batch.column(3).to_pylist(), strict=True):
-                n = len(segment) - length + 1
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([doc_id] * n, pa.int64()), pa.array([text_key] * n, pa.int64()), pa.array(np.arange(start, start + n, dtype=np.int32)),
-                    pa.array([xxh3_128_digest(segment[i:i + length]) for i in range(n)], pa.binary())],
-                    ["doc_id", "text_key", "start", "window"])
-
-    return kernel
-
-
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """doc_id, text_key, start, end (bytes): intervals whose union is covered by strings of ``length`` bytes that start more than once.
 
@@ -226,7 +216,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     copies and the inside of common passages are never gathered. What is left are segments
     that differ somewhere around an equal gram: they are brought together by the gram and
     suffix sorted on both sides of it. A gram with very many different contexts (the border
-    of a common passage) is not gathered; its windows are counted by digest instead.
+    of a common passage) is not gathered; its contexts are sorted over all tasks instead.
     """
     places = stored(anchored_segments(docs.select("doc_id", "text_key", "text"), length, gram), "segments")
     inside = places.where("key IS NULL").select("doc_id", "text_key", "start", "end")
@@ -252,12 +242,10 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     sorted_out = stored(
         bodies.select("doc_id", "text_key", "text", "places").mapInArrow(_segment_bytes, SEGMENTS)
         .repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_compare_groups(length, group_limit), "doc_id long, text_key long, start int, end int, hot boolean, bytes binary"),
+        .mapInArrow(_compare_groups(length, group_limit), COMPARED),
         "compared-segments")
-    windows = sorted_out.where("hot").select("doc_id", "text_key", "start", "bytes").mapInArrow(
-        _window_keys(length), "doc_id long, text_key long, start int, window binary")
-    often = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    hot = windows.join(often, "window", "left_semi").select("doc_id", "text_key", "start", (F.col("start") + length).alias("end"))
+    contexts = sorted_out.where("hot").select("key", "doc_id", "text_key", F.col("start").alias("at"), "left", "right")
+    hot = crowded_intervals(contexts, length).select("doc_id", "text_key", "start", "end")
     return (
         inside.unionByName(alike).unionByName(counted)
         .unionByName(sorted_out.where("NOT hot").select("doc_id", "text_key", "start", "end")).unionByName(hot)
