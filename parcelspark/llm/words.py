@@ -20,10 +20,10 @@ def byte_powers() -> tuple[np.ndarray, np.ndarray]:
     return powers(BYTE_BASE, 2 * BLOCK_BYTES)
 
 
-def word_bounds(low: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(low: bytes, word_byte: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end offsets of the words of a lower-cased text."""
     inside = np.zeros(len(low) + 2, np.int8)
-    inside[1:-1] = WORD_BYTE[np.frombuffer(low, np.uint8)]
+    inside[1:-1] = word_byte[np.frombuffer(low, np.uint8)]
     edge = np.diff(inside)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
