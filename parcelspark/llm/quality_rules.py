@@ -182,15 +182,19 @@ def learn_rules(
 ) -> list[Rule]:
     """Rules for rejecting texts, from at most ``sample_rows`` labelled ids (those with the smallest id hashes).
 
-    An id labelled more than once counts with its lowest label; null labels and ids are ignored; 0 is bad.
+    An id labelled more than once counts with its lowest label, an id with several rows with the text of the
+    smallest hash; null labels and ids are ignored; 0 is bad.
     """
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     )
-    # a bounded number of rows, so it may be broadcast
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_body")).join(F.broadcast(chosen), "_id")
+    # a bounded number of rows, so it may be broadcast; of an id with many rows one is kept, so the driver gets no more either
+    own = (
+        docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_body")).join(F.broadcast(chosen), "_id")
+        .groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_body"), "_body"))["_body"].alias("_body"))
+    )
     stats = with_statistics(own, "_body")
     found = stats.select("_id", "_label", *[F.col("_stats")[n].cast("double").alias(n) for n in FEATURES]).collect()
     found.sort(key=lambda r: tuple(r))
