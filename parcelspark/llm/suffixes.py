@@ -86,7 +86,8 @@ def merge_sorted(ext: Extensions, start: np.ndarray, length: np.ndarray, group_s
 
 
 def covered_lengths(
-    data: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, groups: np.ndarray, size: int, base_powers
+    data: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, groups: np.ndarray, size: int, base_powers,
+    owner: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each anchor (least, most, partner): the window of ``size`` units that begins l units before it occurs at another anchor of its group, for both l.
 
@@ -95,6 +96,7 @@ def covered_lengths(
     sorted by their right context and by their reversed left context; each looks at its
     neighbours in the left order, then outwards in the right order, as long as the running
     common prefix and its own best left extension still make up ``size``. -1 where there is none; the partner shares the window of the largest l.
+    With ``owner``, anchors of an equal owner are no partners (the extensions to them only bound the search).
     """
     n = len(anchor)
     first = np.r_[True, groups[1:] != groups[:-1]] if n else np.empty(0, bool)
@@ -119,6 +121,8 @@ def covered_lengths(
     def probe(i, j, r):
         ext_left = back.common(mirrored[i], mirrored[j], np.minimum(left[i], left[j]))
         ok = ext_left + r >= size
+        if owner is not None:
+            ok &= owner[i] != owner[j]
         low, high = np.maximum(size - r, 0), ext_left
         better = ok & (low < least[i])
         least[i[better]], least_with[i[better]] = low[better], j[better]
@@ -155,10 +159,14 @@ def covered_lengths(
 
     for i in np.flatnonzero(most >= 0).tolist():
         if any(window(i, w) != window(j, w) for w, j in ((most[i], most_with[i]), (least[i], least_with[i]))):
-            least[i], most[i], most_with[i] = _without_hashes(window, i, left, right, range(int(group_start[i]), int(group_end[i])), size)
+            least[i], most[i], most_with[i] = _without_hashes(window, i, left, right, _others(i, int(group_start[i]), int(group_end[i]), owner), size)
     return least, most, most_with
 
 
+def _others(i: int, start: int, end: int, owner) -> list[int]:
+    return [j for j in range(start, end) if owner is None or owner[j] != owner[i]]
+
+
 def _without_hashes(window, i: int, left, right, members, size: int) -> tuple[int, int, int]:
     """The same for one anchor without hashes, for the rare case of a collision."""
     found = [
