@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .importance import importance_draw
 from .line_spread import without_boilerplate
 from .near_passages import near_duplicate_passages
 from .packing import pack
@@ -15,8 +16,10 @@ from .preference import format_preferences, swapped_replies
 from .quality_rules import judged
 from .repeated_bytes import without_repeats
 from .simhash import near_duplicates
+from .token_alignment import cross_tokenizer_links
 from .token_counts import count_tokens
 from .url_rules import judge_urls
+from .vector_search import exact_top_k
 
 # the rules of the url query: host, path, verdict
 URL_RULES = [
@@ -86,10 +89,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_passages(table(spark, sf_dir, "documents")).withColumn("passages", F.col("passages").cast("string"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer_links(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = importance_draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_preference_pairs, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op5_decontamination, op6_simhash, op7_quality_rules,
-        op8_packing, op9_url_rules, op10_substring_dedup)
+        op8_packing, op9_url_rules, op10_substring_dedup, op11_token_alignment, op12_importance_draw,
+        op13_exact_search)
 }
 
 ORACLE: dict[str, str] = {}
@@ -175,3 +192,14 @@ t AS (
   FROM m GROUP BY doc_id)
 SELECT doc_id, n_removed_lines, strlen(kept)::BIGINT AS kept_bytes, sha256(kept) AS kept_sha256 FROM t
 """
+
+ORACLE["op13_exact_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
