@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import exterior, polygon_edges, ring_edges
-from ..functions.once import computed_once
-from .overlay import intersection_area
+from ..functions.geometry import exterior, ring_edges
+from .pair_kernels import mean_boundary_distance, polygon_gap
 
 
 def measured_edges(r: Column | str) -> Column:
@@ -54,55 +53,14 @@ def boundary_samples(layer: DataFrame, keep: list[str], rings: str, count: Colum
     )
 
 
-def point_segment_distance(px: Column, py: Column, e: Column) -> Column:
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    square = dx * dx + dy * dy
-    t = F.when(square > 0, ((px - e["x1"]) * dx + (py - e["y1"]) * dy) / square).otherwise(F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return F.hypot(px - (e["x1"] + t * dx), py - (e["y1"] + t * dy))
-
-
-def sample_points(edges: Column | str, count: int) -> Column:
-    """array<struct<sx,sy>>: ``count`` points at fractions 0, 1/count, ... along measured edges."""
-    edges = F.col(edges) if isinstance(edges, str) else edges
-    step = F.try_element_at(edges, F.lit(-1))["to"] / count
-
-    def on_edge(e: Column) -> Column:
-        first, last = F.ceil(e["from"] / step), F.least(F.ceil(e["to"] / step) - 1, F.lit(count - 1).cast("long"))
-        return F.transform(
-            F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.expr("cast(array() AS array<bigint>)")),
-            lambda k: F.struct(
-                (e["x1"] + (k * step - e["from"]) / (e["to"] - e["from"]) * (e["x2"] - e["x1"])).alias("sx"),
-                (e["y1"] + (k * step - e["from"]) / (e["to"] - e["from"]) * (e["y2"] - e["y1"])).alias("sy")))
-
-    return F.flatten(F.transform(edges, on_edge))
-
-
-def _mean_of_least(points: str, edges: str) -> Column:
-    """Mean over points of the distance to the nearest edge; null without points or edges."""
-    least = F.transform(points, lambda p: F.array_min(F.transform(edges, lambda g: point_segment_distance(p["sx"], p["sy"], g))))
-    return F.when(F.size(points) > 0, F.aggregate(least, F.lit(0.0), lambda n, d: n + d) / F.size(points))
-
-
 def symmetric_boundary_distance(pairs: DataFrame, keys: list[str], a: str, b: str, count: int = 96) -> DataFrame:
     """``keys, boundary_distance``: mean of the two directed mean distances, each over ``count`` exterior samples.
 
     Both polygons stand in the pair's row, so everything is measured there. Null where a geometry is missing.
     """
-    shaped = computed_once(
-        pairs.select(*keys, a, b), _a=measured_edges(exterior(a)), _b=measured_edges(exterior(b)),
-        _ea=polygon_edges(a), _eb=polygon_edges(b))
-    sampled = computed_once(shaped, _pa=sample_points("_a", count), _pb=sample_points("_b", count))
-    both = computed_once(sampled, _forward=_mean_of_least("_pa", "_eb"), _backward=_mean_of_least("_pb", "_ea"))
-    return both.select(*keys, ((F.col("_forward") + F.col("_backward")) / 2).alias("boundary_distance"))
+    return pairs.select(*keys, mean_boundary_distance(count)(a, b).alias("boundary_distance"))
 
 
 def polygon_distance(pairs: DataFrame, keys: list[str], a: str, b: str, carry: list[str] | None = None) -> DataFrame:
     """``keys, carry, distance``: 0 when the polygons share area, else the least edge distance, measured in the row."""
-    kept = [*keys, *(carry or [])]
-    inter = intersection_area(pairs.withColumns({"_a": F.col(a), "_b": F.col(b)}), keys, a, b, [*(carry or []), "_a", "_b"])
-    edges = computed_once(inter, _e=polygon_edges("_a"), _g=polygon_edges("_b"))
-    gap = F.array_min(F.transform("_e", lambda e: F.array_min(F.transform("_g", lambda g: F.least(
-        point_segment_distance(e["x1"], e["y1"], g), point_segment_distance(e["x2"], e["y2"], g),
-        point_segment_distance(g["x1"], g["y1"], e), point_segment_distance(g["x2"], g["y2"], e))))))
-    return edges.select(*kept, F.when(F.col("inter_area") > 1e-9, 0.0).otherwise(gap).alias("distance"))
+    return pairs.select(*keys, *(carry or []), polygon_gap(a, b).alias("distance"))

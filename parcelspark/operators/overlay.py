@@ -3,7 +3,7 @@
 The intersection area is a sum over edge pairs: every non-vertical edge is the
 lower border of a signed trapezoid, and two trapezoids share the area under
 the lower of their two lines. Both polygons stand in the pair's row, so the sum
-is taken there: no explode, no shuffle.
+is taken there (``pair_kernels``): no explode, no shuffle.
 """
 
 from __future__ import annotations
@@ -11,51 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import ring_edges, ring_signed_area
 from ..functions.once import computed_once
-
-
-def signed_edges(rings: Column | str, ox: Column, oy: Column) -> Column:
-    """array<struct<xl,xr,yl,m,s>>: left/right x, y at the left end, slope, sign.
-
-    The sign follows the edge direction of a counter-clockwise exterior and
-    clockwise holes, whatever direction the rings were drawn in. ``ox, oy`` is
-    a local origin that keeps the products small.
-    """
-    rings = F.col(rings) if isinstance(rings, str) else rings
-
-    def one(r: Column, i: Column) -> Column:
-        turn = F.when(ring_signed_area(r) >= 0, 1.0).otherwise(-1.0) * F.when(i == 0, 1.0).otherwise(-1.0)
-        return F.transform(
-            F.filter(ring_edges(r), lambda e: e["x1"] != e["x2"]),
-            lambda e: F.struct(
-                (F.least(e["x1"], e["x2"]) - ox).alias("xl"),
-                (F.greatest(e["x1"], e["x2"]) - ox).alias("xr"),
-                (F.when(e["x1"] < e["x2"], e["y1"]).otherwise(e["y2"]) - oy).alias("yl"),
-                ((e["y2"] - e["y1"]) / (e["x2"] - e["x1"])).alias("m"),
-                (F.when(e["x1"] > e["x2"], 1.0).otherwise(-1.0) * turn).alias("s"),
-            ),
-        )
-
-    return F.flatten(F.transform(rings, one))
-
-
-def _shared_area(e: Column, g: Column) -> Column:
-    """Integral of the lower of two lines over their common x-range."""
-    left = F.greatest(e["xl"], g["xl"])
-    right = F.least(e["xr"], g["xr"])
-    fl = e["yl"] + e["m"] * (left - e["xl"])
-    fr = e["yl"] + e["m"] * (right - e["xl"])
-    gl = g["yl"] + g["m"] * (left - g["xl"])
-    gr = g["yl"] + g["m"] * (right - g["xl"])
-    dl, dr = fl - gl, fr - gr
-    above = (
-        F.when((dl >= 0) & (dr >= 0), (dl + dr) / 2.0)
-        .when((dl <= 0) & (dr <= 0), F.lit(0.0))
-        .when(dl > 0, dl * dl / (2.0 * (dl - dr)))
-        .otherwise(dr * dr / (2.0 * (dr - dl)))
-    )
-    return e["s"] * g["s"] * (right - left) * ((fl + fr) / 2.0 - above)
+from .pair_kernels import shared_area
 
 
 def intersection_area(
@@ -67,13 +24,7 @@ def intersection_area(
     touch, or lack a geometry, get 0.
     """
     kept = [*keys, *(carry or [])]
-    origin_x, origin_y = F.get(F.get(a, F.lit(0)), F.lit(0))["x"], F.get(F.get(a, F.lit(0)), F.lit(0))["y"]
-    edges = computed_once(
-        pairs.select(*kept, a, b), _e=signed_edges(a, origin_x, origin_y), _g=signed_edges(b, origin_x, origin_y))
-    total = F.aggregate("_e", F.lit(0.0), lambda sum_, e: sum_ + F.aggregate(
-        F.filter("_g", lambda g: (g["xl"] < e["xr"]) & (g["xr"] > e["xl"])),
-        F.lit(0.0), lambda part, g: part + _shared_area(e, g)))
-    return computed_once(edges, **{out: F.greatest(F.coalesce(total, F.lit(0.0)), F.lit(0.0))}).select(*kept, out)
+    return computed_once(pairs.select(*kept, a, b), **{out: shared_area(a, b)}).select(*kept, out)
 
 
 def union_area(a: Column, b: Column, inter: Column) -> Column:

@@ -1,12 +1,13 @@
-"""Polygon validity as one column expression: structure and self-crossing, no shuffle."""
+"""Polygon validity inside the row: structure as column expressions, self-crossing by an Arrow kernel; no shuffle."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import polygon_area, ring_edges, ring_signed_area
+from ..functions.geometry import polygon_area, ring_signed_area
 from ..functions.once import computed_once
+from .pair_kernels import self_crossing
 
 
 def structural_reason(rings: Column | str) -> Column:
@@ -23,58 +24,6 @@ def structural_reason(rings: Column | str) -> Column:
     )
 
 
-def _turn(e: Column, x: Column, y: Column) -> Column:
-    """Side of the line through edge e on which (x, y) lies, times a positive factor."""
-    return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-
-
-def _edges_with_ids(rings: Column) -> Column:
-    def one(r: Column, k: Column) -> Column:
-        kept = F.filter(ring_edges(r), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
-        return F.transform(kept, lambda e, i: F.struct(
-            k.alias("r"), i.alias("i"), F.size(kept).alias("n"),
-            e["x1"].alias("x1"), e["y1"].alias("y1"), e["x2"].alias("x2"), e["y2"].alias("y2"),
-            F.least(e["x1"], e["x2"]).alias("xl"), F.greatest(e["x1"], e["x2"]).alias("xr"),
-            F.least(e["y1"], e["y2"]).alias("yl"), F.greatest(e["y1"], e["y2"]).alias("yr"),
-        ))
-
-    return F.flatten(F.transform(rings, one))
-
-
-def _meets(e: Column, g: Column) -> Column:
-    """Boxes of two edges meet; tested first because it rules out nearly all pairs."""
-    return (g["xl"] <= e["xr"]) & (g["xr"] >= e["xl"]) & (g["yl"] <= e["yr"]) & (g["yr"] >= e["yl"])
-
-
-def _conflict(e: Column, g: Column) -> Column:
-    """Edges cross or run along each other, or one ring touches itself away from neighbours."""
-    d1, d2 = _turn(g, e["x1"], e["y1"]), _turn(g, e["x2"], e["y2"])
-    d3, d4 = _turn(e, g["x1"], g["y1"]), _turn(e, g["x2"], g["y2"])
-    crossing = (d1 * d2 < 0) & (d3 * d4 < 0)
-    common_x = F.least(e["xr"], g["xr"]) - F.greatest(e["xl"], g["xl"])
-    common_y = F.least(e["yr"], g["yr"]) - F.greatest(e["yl"], g["yl"])
-    along = (d1 == 0) & (d2 == 0) & ((common_x > 0) | (common_y > 0))
-    gap = g["i"] - e["i"]
-    apart = (e["r"] == g["r"]) & (gap > 1) & (gap < e["n"] - 1)
-    # with meeting boxes, a zero turn plus opposite or zero turns means a shared point
-    touching = apart & (d1 * d2 <= 0) & (d3 * d4 <= 0)
-    return crossing | along | touching
-
-
-def self_crossing(rings: Column | str) -> Column:
-    """True when two edges of the polygon cross, overlap, or touch where they must not."""
-    r = F.col(rings) if isinstance(rings, str) else rings
-
-    def later(e: Column, g: Column) -> Column:
-        return (g["r"] > e["r"]) | ((g["r"] == e["r"]) & (g["i"] > e["i"]))
-
-    return F.exists(
-        F.transform(F.array(_edges_with_ids(r)), lambda edges: F.exists(
-            edges, lambda e: F.exists(edges, lambda g: _meets(e, g) & later(e, g) & _conflict(e, g)))),
-        lambda hit: hit,
-    )
-
-
 def invalid_reason(rings: Column | str) -> Column:
     """Why the polygon is not valid, or null."""
     return F.coalesce(structural_reason(rings), F.when(self_crossing(rings), "self_intersection"))
