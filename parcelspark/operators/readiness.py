@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import polygon_area
 from ..functions.once import computed_once
+from ..session import cut_lineage
+from .clipping import clip_parts
 from .grid import cross_candidates, self_candidates
 from .overlay import intersection_area
 from .pixels import HARD_CLASSES, THIN_RATIO
 from .skew import salted_lookup
+from .validity import invalid_reason
 
 # Windows required per split, classes that must be covered.
 REQUIRED_SPLITS = {"train": 9, "validation": 3, "test": 3}
@@ -97,8 +100,13 @@ def split_leakage(windows: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def outside_target(windows: DataFrame, target: DataFrame) -> DataFrame:
-    """Windows that touch no target area box (both: ``id`` and box columns)."""
-    hit = cross_candidates(windows, target, [], [], []).select(F.col("l_id").alias("id")).distinct()
+    """Windows that touch no target area box (both: ``id`` and box columns).
+
+    Only existence is asked: equal target boxes are one, and each window counts its hits before the shuffle, so
+    no list of window and target pairs is made.
+    """
+    boxes = target.select("minx", "miny", "maxx", "maxy").distinct().withColumn("id", F.monotonically_increasing_id())
+    hit = cross_candidates(windows, cut_lineage(boxes), [], [], []).groupBy(F.col("l_id").alias("id")).agg(F.lit(True).alias("_hit"))
     return windows.join(hit, "id", "left_anti")
 
 
@@ -148,21 +156,34 @@ def readiness_report(manifest: DataFrame, records: DataFrame, audited: DataFrame
     )
 
 
-def first_image(features: DataFrame, images: DataFrame) -> DataFrame:
-    """``id, image_index``: each reviewed polygon goes to the first image it shares area with.
+def first_image(features: DataFrame, images: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """``scope, id, image_index``: each reviewed polygon goes to the first image it shares area with.
+
+    ``features``: scope, id, rings, box; ``images``: scope, id (the index), rings, box.
+    """
+    scope = scope or []
+    pairs = cross_candidates(features, images, scope, ["rings"], ["rings"])
+    shared = intersection_area(pairs, [*scope, "l_id", "r_id"], "l_rings", "r_rings").where(F.col("inter_area") > 0)
+    return shared.groupBy(*scope, F.col("l_id").alias("id")).agg(F.min("r_id").alias("image_index"))
+
+
+def cropped_labels(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """``id, image, parts``: labels cut to the boxes of the images they reach.
 
-    ``features``: id, rings, box; ``images``: id (the index), rings, box.
+    ``labels`` and ``images``: id, rings, box. A label may fall into several parts. Crops without an area are left
+    out, and so are labels that are not valid themselves: a valid polygon cut to a box stays valid.
     """
-    pairs = cross_candidates(features, images, [], ["rings"], ["rings"])
-    shared = intersection_area(pairs, ["l_id", "r_id"], "l_rings", "r_rings").where(F.col("inter_area") > 0)
-    return shared.groupBy(F.col("l_id").alias("id")).agg(F.min("r_id").alias("image_index"))
+    pairs = cross_candidates(labels, images, [], ["rings"], [])
+    cut = computed_once(
+        pairs, _why=invalid_reason("l_rings"), parts=clip_parts("l_rings", *[f"r_{c}" for c in ("minx", "miny", "maxx", "maxy")]))
+    return cut.where(F.col("_why").isNull() & F.col("parts").isNotNull()).select(
+        F.col("l_id").alias("id"), F.col("r_id").alias("image"), "parts")
 
 
 def reference_faces(faces: DataFrame, windows: DataFrame, keys: list[str], inset: float = 5.0,
                     min_area: float = 20.0, max_area: float = 250_000.0) -> DataFrame:
     """Valid faces inside their window's inset box with an area between the limits (exclusive)."""
     from ..functions.geometry import with_bbox
-    from .validity import invalid_reason
 
     sized = computed_once(faces, area_m2=polygon_area("rings"), _why=invalid_reason("rings"))
     sized = sized.where(F.col("_why").isNull() & (F.col("area_m2") > min_area) & (F.col("area_m2") < max_area)).drop("_why")

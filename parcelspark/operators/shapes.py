@@ -1,4 +1,4 @@
-"""Arrow kernels whose result is a new geometry: hull size, clipping, simplification.
+"""Arrow kernels whose result is a new geometry: hull size, line clipping, simplification.
 
 Each kernel maps a batch of polygons; none of them holds state between rows.
 """
@@ -127,43 +127,6 @@ def editing_rings(rings: pa.Array, ring_area: pa.Array) -> pa.Array:
     return pa.array([one(r, a) for r, a in zip(rings.to_pylist(), ring_area.to_pylist())], _ARROW_RINGS)
 
 
-def _clip_half_plane(points: np.ndarray, axis: int, limit: float, keep_low: bool) -> np.ndarray:
-    if len(points) == 0:
-        return points
-    inside = points[:, axis] <= limit if keep_low else points[:, axis] >= limit
-    previous, was_inside = np.roll(points, 1, axis=0), np.roll(inside, 1)
-    out = []
-    for p, q, now, before in zip(points, previous, inside, was_inside):
-        if now != before:
-            t = (limit - q[axis]) / (p[axis] - q[axis])
-            out.append(q + t * (p - q))
-        if now:
-            out.append(p)
-    return np.array(out) if out else np.empty((0, 2))
-
-
-def _clip_ring(ring, box) -> list[dict] | None:
-    points = _points(ring)[:-1]
-    for axis, limit, low in ((0, box[0], False), (0, box[2], True), (1, box[1], False), (1, box[3], True)):
-        points = _clip_half_plane(points, axis, limit, low)
-    if len(points) < 3:
-        return None
-    return _ring(np.vstack([points, points[:1]]))
-
-
-@F.arrow_udf(RINGS)
-def clip_rings(rings: pa.Array, minx: pa.Array, miny: pa.Array, maxx: pa.Array, maxy: pa.Array) -> pa.Array:
-    """Polygon cut to a box (half-plane by half-plane); null when nothing is left."""
-    def one(r, *box):
-        outer = _clip_ring(r[0], box)
-        if outer is None:
-            return None
-        return [outer, *[h for h in (_clip_ring(g, box) for g in r[1:]) if h is not None]]
-
-    columns = [c.to_pylist() for c in (rings, minx, miny, maxx, maxy)]
-    return pa.array([one(*v) for v in zip(*columns)], _ARROW_RINGS)
-
-
 def _clip_segment(x1, y1, x2, y2, box):
     t0, t1, dx, dy = 0.0, 1.0, x2 - x1, y2 - y1
     for p, q in ((-dx, x1 - box[0]), (dx, box[2] - x1), (-dy, y1 - box[1]), (dy, box[3] - y1)):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import multipart as M
 from ..functions import projection as P
 from ..functions import scoring as S
 from ..functions.once import computed_once
@@ -12,11 +13,15 @@ from ..operators import selection as L
 from ..operators import shapes as A
 from ..operators import topology as T
 from ..operators.boundary import boundary_samples
+from ..operators.clipping import clip_parts
 from ..operators.nearest import nearest_polygon, neighbours_within
 from ..operators.overlay import intersection_area
 from ..operators.suppression import suppress_overlaps
 from ..operators.validity import with_validity
+from ..session import shared_folder
 from ..sources import domain as D
+from ..sources.documents import read_multipart_lines
+from ..sources.sinks import multipart_rows, write_features
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
@@ -259,8 +264,62 @@ def shape_penalties(spark, sf):
     FROM v_parcel_boxes GROUP BY 1 HAVING clipped_area > 0""")
 def clipped_parcels(spark, sf):
     box = [F.lit(v) for v in (30.5, 30.5, 400.5, 200.5)]
-    cut = D.parcel_layer(spark, sf).select("id", A.clip_rings("rings", *box).alias("rings")).where(F.col("rings").isNotNull())
-    return cut.select("id", R6(G.polygon_area("rings")).alias("clipped_area")).where(F.col("clipped_area") > 0)
+    cut = computed_once(D.parcel_layer(spark, sf).select("id", "rings"), parts=clip_parts("rings", *box)).where(F.col("parts").isNotNull())
+    return cut.select("id", R6(M.parts_area("parts")).alias("clipped_area"))
+
+
+@query("G20 G28 G11", """
+    SELECT id, part::INTEGER AS part, n AS parts, round((CASE WHEN part = n - 1 THEN u - 3 ELSE u END) * (h - 20), 6) AS part_area,
+           round((n * u - 3) * (h - 20), 6) AS clipped_area, true AS valid
+    FROM (SELECT id, h, n, w / (2 * n - 1) AS u, unnest(range(0, n)) AS part FROM (SELECT *, (2 + id % 4)::INTEGER AS n FROM v_lattice))""")
+def comb_parts(spark, sf):
+    """Combs of two to five teeth, cut above their base: every tooth is a part of its own."""
+    combs = computed_once(D.parcel_layer(spark, sf).select("id"), rings=D.comb_rings(F.col("id")))
+    x, y, w, h = D._lattice(F.col("id"))
+    cut = computed_once(combs, parts=clip_parts("rings", x - 5, y + 20, x + w - 3, y + h + 5))
+    rows = M.exploded_parts(cut.select("id", F.size("parts").alias("parts"), M.parts_area("parts").alias("clipped_area"), F.col("parts").alias("_p")),
+                            ["id", "parts", "clipped_area"], "_p")
+    checked = with_validity(rows)
+    return checked.select("id", "part", "parts", R6(G.polygon_area("rings")).alias("part_area"), R6("clipped_area").alias("clipped_area"), F.col("is_valid").alias("valid"))
+
+
+@query("G20 J20 G23", """
+    SELECT b.id, image, round(sum(s * greatest(0, least(b.x1, i.x1) - greatest(b.x0, i.x0)) * greatest(0, least(b.y1, i.y1) - greatest(b.y0, i.y0))), 6) AS crop_area
+    FROM v_parcel_boxes b, (SELECT c * 3 + r AS image, c * 210.0 AS x0, r * 130.0 AS y0, c * 210.0 + 230 AS x1, r * 130.0 + 150 AS y1
+                            FROM range(0, 3) cs(c), range(0, 3) rs(r)) i
+    GROUP BY 1, 2 HAVING crop_area > 0""")
+def label_crops(spark, sf):
+    """Every label cut to every crop of a project's image that it reaches; empty and broken crops are left out."""
+    column, row = F.floor(F.col("id") / 3), F.col("id") % 3
+    x, y = column * 210.0, row * 130.0
+    images = G.with_bbox(computed_once(spark.range(9), rings=G.box_polygon(x, y, x + 230, y + 150)))
+    labels = G.with_bbox(D.parcel_layer(spark, sf).select("id", "rings"))
+    crops = Y.cropped_labels(labels, images)
+    return crops.select("id", "image", R6(M.parts_area("parts")).alias("crop_area"))
+
+
+@query("G28 G33 S6 S9 V3", """
+    SELECT a.id, CASE WHEN a.id % 4 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type, CASE WHEN a.id % 4 = 0 THEN 2 ELSE 1 END AS parts,
+           round(a.area + CASE WHEN a.id % 4 = 0 THEN 16 ELSE 0 END, 6) AS area, true AS valid, true AS returns
+    FROM v_parcel_area a""")
+def multipart_features(spark, sf):
+    """Parcels with an island as MultiPolygon features: written, read again, taken apart, checked and put together."""
+    x, y, w, h = D._lattice(F.col("id"))
+    island = F.array(G.box_ring(x + w + 1, y + h + 1, x + w + 5, y + h + 5))
+    layer = computed_once(D.parcel_layer(spark, sf), parts=F.when(F.col("id") % 4 == 0, F.array("rings", island)).otherwise(M.one_part("rings")))
+    path = shared_folder(spark, "multipart-features")
+    write_features(multipart_rows(layer, ["id"]), path)
+    read = read_multipart_lines(spark, f"{path}/features").select(
+        F.get_json_object("properties", "$.id").cast("long").alias("id"), "geometry_type", "parts")
+    parts = with_validity(M.exploded_parts(read, ["id"]))
+    lapping = T.overlap_totals(parts.select(F.col("id").alias("feature"), F.col("part").alias("id"), "rings"), ["feature"])
+    judged = parts.groupBy("id").agg(F.bool_and("is_valid").alias("_valid")).join(
+        lapping.select(F.col("feature").alias("id"), (F.col("overlap_pairs") == 0).alias("_apart")), "id")
+    again = M.gathered_parts(parts, ["id"]).select("id", F.col("parts").alias("_again"))
+    rows = read.join(judged, "id").join(again, "id").join(layer.select("id", F.col("parts").alias("_first")), "id")
+    return rows.select(
+        "id", "geometry_type", F.size("parts").alias("parts"), R6(M.parts_area("parts")).alias("area"),
+        (F.col("_valid") & F.col("_apart")).alias("valid"), (F.col("_again") == F.col("_first")).alias("returns"))
 
 
 @query("G22 G14", """
@@ -296,7 +355,7 @@ def geometry_text(spark, sf):
         G.equals_exact("rings", G.from_wkt("wkt"), 0.0).alias("text_returns"), F.substring_index("wkt", ",", 1).alias("text_head"))
 
 
-@query("G28 G9 G6", """
+@query("G9 G6", """
     SELECT a.id, round(sum(greatest(0, least(x1, 400) - greatest(x0, 0)) * greatest(0, least(y1, 200) - greatest(y0, 0)) * s), 6) AS inside_area,
            bool_and(x0 >= 0 AND x1 <= 400 AND y0 >= 0 AND y1 <= 200) AS contained
     FROM v_parcel_boxes a GROUP BY 1""")
@@ -329,40 +388,43 @@ def split_leakage(spark, sf):
 
 @query("J18", """
     SELECT id FROM v_lattice p WHERE NOT EXISTS (
-      SELECT 1 FROM v_lattice t WHERE t.id % 17 = 0 AND t.x <= p.x + p.w AND p.x <= t.x + t.w AND t.y <= p.y + p.h AND p.y <= t.y + t.h)""")
+      SELECT 1 FROM v_lattice t WHERE t.id % 17 = 0 AND t.id % 60 < 15 AND t.x <= p.x + p.w AND p.x <= t.x + t.w AND t.y <= p.y + p.h AND p.y <= t.y + t.h)""")
 def windows_outside_target(spark, sf):
     boxed = G.with_bbox(D.parcel_layer(spark, sf).select("id", "rings"))
-    return Y.outside_target(boxed, boxed.where(F.col("id") % 17 == 0)).select("id")
+    return Y.outside_target(boxed, boxed.where((F.col("id") % 17 == 0) & (F.col("id") % 60 < 15))).select("id")
 
 
-_IMAGES = "(SELECT r AS image, (r % 10) * 55.0 AS x0, (r // 10) * 50.0 AS y0, (r % 10) * 55.0 + 90 AS x1, (r // 10) * 50.0 + 80 AS y1 FROM range(0, 60) t(r))"
+# four images a project, of its lower and middle rows of parcels; the upper ones lie in none
+_IMAGES = """(SELECT o_custkey * 1000000 + k AS image, o_custkey AS project_id, k * 150.0 AS x0, 0.0 AS y0, k * 150.0 + 90 AS x1, 180.0 AS y1
+              FROM (SELECT DISTINCT CAST(floor(c_custkey / 60) AS BIGINT) AS o_custkey FROM customer), range(0, 4) t(k))"""
 
 
 def _images(spark, sf):
-    image = F.col("id")
-    x, y = (image % 10) * 55.0, F.floor(image / 10) * 50.0
-    rows = D.parcel_layer(spark, sf).where(F.col("id") < 60).select("id")
-    return G.with_bbox(computed_once(rows, rings=G.box_polygon(x, y, x + 90, y + 80)))
+    k = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    rows = D.parcel_layer(spark, sf).select("project_id").distinct().select("project_id", k.alias("_k"))
+    x = F.col("_k") * 150.0
+    return G.with_bbox(computed_once(
+        rows.select("project_id", (F.col("project_id") * 1000000 + F.col("_k")).alias("id"), "_k"), rings=G.box_polygon(x, F.lit(0), x + 90, F.lit(180))))
 
 
 @query("J20 J18", f"""
     SELECT b.id, min(i.image) AS image_index FROM (
       SELECT b.id, i.image, sum(b.s * greatest(0, least(b.x1, i.x1) - greatest(b.x0, i.x0)) * greatest(0, least(b.y1, i.y1) - greatest(b.y0, i.y0))) AS a
-      FROM v_parcel_boxes b, {_IMAGES} i GROUP BY 1, 2) b JOIN {_IMAGES} i ON i.image = b.image WHERE b.a > 1e-9 GROUP BY 1""")
+      FROM v_parcel_boxes b JOIN {_IMAGES} i USING (project_id) GROUP BY 1, 2) b JOIN {_IMAGES} i ON i.image = b.image WHERE b.a > 1e-9 GROUP BY 1""")
 def first_matching_image(spark, sf):
-    features = G.with_bbox(D.parcel_layer(spark, sf).select("id", "rings"))
-    return Y.first_image(features, _images(spark, sf))
+    features = G.with_bbox(D.parcel_layer(spark, sf).select(*SCOPE, "id", "rings"))
+    return Y.first_image(features, _images(spark, sf), SCOPE).drop(*SCOPE)
 
 
 @query("J19", f"""
     SELECT id AS parcel_id FROM v_lattice WHERE id NOT IN (
-      SELECT b.id FROM v_parcel_boxes b, {_IMAGES} i WHERE b.id % 2 = 0 GROUP BY b.id, i.image
+      SELECT b.id FROM v_parcel_boxes b JOIN {_IMAGES} i USING (project_id) GROUP BY b.id, i.image
       HAVING sum(b.s * greatest(0, least(b.x1, i.x1) - greatest(b.x0, i.x0)) * greatest(0, least(b.y1, i.y1) - greatest(b.y0, i.y0))) > 1e-9)""")
 def unmatched_reviewed(spark, sf):
     from ..operators.review import unmatched_ids
 
-    layer = D.parcel_layer(spark, sf).select("id", "rings")
-    matched = Y.first_image(G.with_bbox(layer.where(F.col("id") % 2 == 0)), _images(spark, sf)).select(F.col("id").alias("parcel_id"))
+    layer = D.parcel_layer(spark, sf).select(*SCOPE, "id", "rings")
+    matched = Y.first_image(G.with_bbox(layer), _images(spark, sf), SCOPE).select(F.col("id").alias("parcel_id"))
     return unmatched_ids(layer.select(F.col("id").alias("parcel_id")), matched)
 
 

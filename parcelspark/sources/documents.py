@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.geometry import from_coordinates
 from ..functions.identity import canonical_uuid
+from ..functions.multipart import parts_from_geojson
 
 
 def read_table(spark: SparkSession, root: str, name: str, project_id: str | None = None) -> DataFrame:
@@ -28,6 +29,18 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return _feature_columns(rows)
 
 
+def multipart_columns(features: DataFrame) -> DataFrame:
+    """``geometry`` as GeoJSON text becomes ``geometry_type`` and ``parts``; other columns stay."""
+    kept = [c for c in features.columns if c != "geometry"]
+    return features.select(*kept, F.get_json_object("geometry", "$.type").alias("geometry_type"), parts_from_geojson("geometry").alias("parts"))
+
+
+def read_multipart_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Features of Polygon or MultiPolygon geometry, one per line: ``feature_type, properties, geometry_type, parts``."""
+    rows = spark.read.schema("type string, geometry string, properties string").json(path)
+    return multipart_columns(rows.withColumnRenamed("type", "feature_type"))
+
+
 def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
     """One feature per line: splittable, the form the sinks write."""
     schema = f"type string, geometry {schemas.POLYGON}, properties string"

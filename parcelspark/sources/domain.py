@@ -81,6 +81,20 @@ def parcel_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return computed_once(keys, rings=parcel_rings(F.col("id")))
 
 
+def comb_rings(k: Column) -> Column:
+    """The parcel's box as a comb: a base of 10 m and two to five teeth of equal width and spacing."""
+    x, y, w, h = _lattice(k)
+    n = (2 + k % 4).cast("int")
+    u = w / (2 * n - 1)
+
+    def tooth(i: Column) -> Column:  # from right to left
+        left, right = x + 2 * i * u, x + (2 * i + 1) * u
+        return ring([(right, y + 10), (right, y + h), (left, y + h), (left, y + 10)])
+
+    teeth = F.flatten(F.transform(F.sequence(n - 1, F.lit(0), F.lit(-1)), tooth))
+    return F.array(F.concat(ring([(x, y), (x + w, y)]), teeth, ring([(x, y)])))
+
+
 def reference_rings(k: Column) -> Column:
     x, y, w, h = _lattice(k)
     x = x + ((k * 13) % 9 - 4)

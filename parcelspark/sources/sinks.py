@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import geojson_geometry
+from ..functions.multipart import geojson_of_parts
 
 CRS84 = {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}}
 
@@ -22,6 +23,14 @@ def feature_rows(layer: DataFrame, properties: list[str], rings: str = "rings")
     return layer.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
 
 
+def multipart_rows(layer: DataFrame, properties: list[str], parts: str = "parts") -> DataFrame:
+    """One GeoJSON Feature per row, as text; a single part is a Polygon, several are a MultiPolygon."""
+    text = F.concat(
+        F.lit('{"type":"Feature","geometry":'), geojson_of_parts(parts), F.lit(',"properties":'),
+        F.to_json(F.struct(*properties), {"ignoreNullFields": "false"}), F.lit("}"))
+    return layer.select(text.alias("value"))
+
+
 def write_features(features: DataFrame, path: str, header: dict | None = None, mode: str = "errorifexists") -> None:
     """Features as newline-delimited text in parallel, the document header beside them.
 

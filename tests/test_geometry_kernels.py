@@ -152,10 +152,6 @@ def test_arrow_kernels(make_layer):
     l_shape = [(0, 0), (10, 0), (10, 4), (4, 4), (4, 10), (0, 10), (0, 0)]
     layer = make_layer([(0, 1, [l_shape])])
     assert one(layer, A.hull_vertex_count("rings").alias("h")).h == 5
-    lit = [F.lit(float(v)) for v in (2, 2, 8, 8)]
-    clipped = layer.select(A.clip_rings("rings", *lit).alias("rings"))
-    assert one(clipped, G.polygon_area("rings").alias("a")).a == pytest.approx(6 * 2 + 2 * 4)
-    assert layer.select(A.clip_rings("rings", *[F.lit(float(v)) for v in (20, 20, 30, 30)]).alias("c")).first().c is None
     steps = [(0, 0), (5, 0.1), (10, 0), (10, 10), (0, 10), (0, 0)]
     simple = make_layer([(0, 1, [steps])]).select(A.simplify_rings(0.25)(F.col("rings")).alias("rings"))
     assert one(simple, G.vertex_count("rings").alias("v")).v == 4
