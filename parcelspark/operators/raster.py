@@ -229,45 +229,48 @@ def face_sizes(components: DataFrame, keys: list[str] | None = None) -> DataFram
     )
 
 
-def _trace(codes: np.ndarray) -> list[dict]:
-    """Exterior ring of one component in (row, col) corner positions.
+def _trace(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exterior ring of one component as (row, col) of its corners, closed.
 
-    Unit edges keep the component on one side; the walk starts at the top edge
-    of the first pixel and, where four edges meet, turns so that it stays at
-    the pixel it came from. Corners are kept, straight steps are merged.
+    Every pixel side without a neighbour is a directed edge with the component on its right. Its successor
+    follows from the two pixels ahead; where four edges meet, the ring stays at the pixel it came from. The
+    edges are put in order by pointer jumping from the top side of the first pixel, so the memory depends on the
+    number of pixels alone, not on their box. Straight steps are merged.
     """
-    rows, cols = codes // _SHIFT, codes % _SHIFT
-    r0, c0 = rows.min() - 1, cols.min() - 1
-    grid = np.zeros((rows.max() - r0 + 2, cols.max() - c0 + 2), dtype=bool)
-    grid[rows - r0, cols - c0] = True
-    r = int(np.argmax(grid.any(axis=1)))
-    c = int(np.argmax(grid[r]))
-    moves = ((0, 1), (1, 0), (0, -1), (-1, 0))  # east, south, west, north: interior on the right
-    at, heading = (r, c), 0
-    start = (at, heading)
-    ring: list[tuple[int, int]] = [at]
-    while True:
-        at = (at[0] + moves[heading][0], at[1] + moves[heading][1])
-        y, x = at
-        # pixels ahead of the corner, right-hand and left-hand of the heading
-        ahead_right, ahead_left = (
-            ((y, x), (y - 1, x)), ((y, x - 1), (y, x)),
-            ((y - 1, x - 1), (y, x - 1)), ((y - 1, x), (y - 1, x - 1)),
-        )[heading]
-        if not grid[ahead_right]:
-            turned = (heading + 1) % 4
-        elif grid[ahead_left]:
-            turned = (heading + 3) % 4
-        else:
-            turned = heading
-        if turned != heading:
-            ring.append(at)
-        heading = turned
-        if (at, heading) == start:
+    codes = np.sort(codes)
+    n = len(codes)
+    # neighbours by heading: east, south, west, north; columns may not wrap into the next row
+    near = np.full((4, n), -1)
+    for h, step in enumerate((1, _SHIFT, -1, -_SHIFT)):
+        at = np.minimum(np.searchsorted(codes, codes + step), n - 1)
+        near[h] = np.where(codes[at] == codes + step, at, -1)
+    pixel, heading = np.divmod(np.flatnonzero((near[[3, 0, 1, 2]] < 0).T.reshape(-1)), 4)
+    number = np.full(4 * n, -1)
+    number[4 * pixel + heading] = np.arange(len(pixel))
+    ahead = near[heading, pixel]
+    ahead_left = np.where(ahead >= 0, near[(heading + 3) % 4, ahead], -1)
+    to_pixel = np.where(ahead < 0, pixel, np.where(ahead_left >= 0, ahead_left, ahead))
+    to_heading = np.where(ahead < 0, heading + 1, np.where(ahead_left >= 0, heading + 3, heading)) % 4
+    follows = number[4 * to_pixel + to_heading]
+    # steps from each edge until the first edge comes again; edges of other rings never reach it
+    first = number[0]
+    steps, jump = np.ones(len(pixel), np.int64), follows.copy()
+    ended = jump == first
+    for _ in range(len(pixel).bit_length()):
+        moving = np.flatnonzero(~ended)
+        if not len(moving):
             break
-    if ring[-1] != ring[0]:
-        ring.append(ring[0])
-    return [{"row": float(y + r0), "col": float(x + c0)} for y, x in ring]
+        to = jump[moving]
+        steps[moving] += steps[to]
+        ended[moving] = ended[to]
+        jump[moving] = jump[to]
+    ring = np.flatnonzero(ended)
+    ring = ring[np.argsort(-steps[ring])]
+    turned = heading[ring] != np.roll(heading[ring], 1)
+    pixel, heading = pixel[ring[turned]], heading[ring[turned]]
+    rows = codes[pixel] // _SHIFT + ((heading == 2) | (heading == 3))
+    cols = codes[pixel] % _SHIFT + ((heading == 1) | (heading == 2))
+    return np.append(rows, rows[0]).astype(float), np.append(cols, cols[0]).astype(float)
 
 
 _CORNERS = T.ArrayType(T.StructType([T.StructField("row", T.DoubleType()), T.StructField("col", T.DoubleType())]))
@@ -275,16 +278,17 @@ _CORNERS = T.ArrayType(T.StructType([T.StructField("row", T.DoubleType()), T.Str
 
 @F.arrow_udf(_CORNERS)
 def _corners(codes: pa.Array) -> pa.Array:
-    corner = pa.struct([("row", pa.float64()), ("col", pa.float64())])
-    return pa.array([_trace(c.values.to_numpy()) for c in codes], pa.list_(corner))
+    rings = [_trace(c.values.to_numpy()) for c in codes]
+    rows, cols = (np.concatenate([r[k] for r in rings]) if rings else np.empty(0) for k in (0, 1))
+    at = np.concatenate([[0], np.cumsum([len(r[0]) for r in rings])]).astype(np.int32)
+    return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(rows), pa.array(cols)], ["row", "col"]))
 
 
 def face_rings(components: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys, component, corners``: exterior ring of each component.
 
-    Call it on components of bounded size only (:func:`parcel_faces` filters
-    by pixel count and box first), because the pixels of one component are
-    gathered in one row before its ring is walked.
+    Call it on components of bounded pixel count only (:func:`parcel_faces` filters by it first), because the
+    pixels of one component are gathered in one row before its ring is put in order. Their box may be of any size.
     """
     keys = keys or ["raster_id"]
     code = F.col("row") * F.lit(_SHIFT) + F.col("col")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import scoring as S
 from ..functions.once import computed_once
 from ..operators import pixels as P
@@ -11,6 +12,7 @@ from ..operators import selection as L
 from ..operators import contracts as K
 from ..operators.compare import report_deltas
 from ..operators.skew import salted_lookup
+from ..session import cut_lineage
 from ..sources import domain as D
 from .registry import query
 from .vectorize import Config, sweep, sweep_open_faces, vectorize
@@ -221,15 +223,19 @@ def swept_open_faces(spark, sf):
         F.count(F.lit(1)).alias("open_pixels"))
 
 
-@query("R5 R3", """
+_COMPONENTS = """
     WITH RECURSIVE open_px AS (SELECT raster_id, row, col, row * 2147483648 + col AS code FROM v_pixels WHERE value >= 0 AND value < 0.2),
     reach AS (
       SELECT raster_id, code, row, col, code AS src FROM open_px
       UNION
       SELECT o.raster_id, o.code, o.row, o.col, r.src FROM reach r JOIN open_px o
-        ON o.raster_id = r.raster_id AND abs(o.row - r.row) + abs(o.col - r.col) = 1 WHERE r.src < o.code)
+        ON o.raster_id = r.raster_id AND abs(o.row - r.row) + abs(o.col - r.col) = 1 WHERE r.src < o.code),
+    comp AS (SELECT raster_id, code, row, col, min(src) AS component FROM reach GROUP BY ALL)"""
+
+
+@query("R5 R3", _COMPONENTS + """
     SELECT raster_id, component, count(*) AS pixels, min(row) AS min_row, max(row) AS max_row, min(col) AS min_col, max(col) AS max_col
-    FROM (SELECT raster_id, code, row, col, min(src) AS component FROM reach GROUP BY ALL) GROUP BY 1, 2""")
+    FROM comp GROUP BY 1, 2""")
 def open_components(spark, sf):
     faces = R.open_faces(D.pixels(spark, sf), "value", 0.2, 1, 0)
     return R.face_sizes(R.connected_components(faces, tile=16))
@@ -242,6 +248,31 @@ def vectorized_faces(spark, sf):
     return _r(rows, "area_m2", "length_m", "compactness", "boundary_alignment_score", "raw_confidence").drop("rings")
 
 
+@query("R6 V26", _COMPONENTS + """,
+    -- which of the four pixels around each grid corner belong to the component
+    around AS (
+      SELECT raster_id, component, row + dr AS y, col + dc AS x, sum(1 << (2 * dr + dc))::INTEGER AS mask
+      FROM comp, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dr, dc) GROUP BY ALL),
+    corners AS (
+      SELECT raster_id, component, sum(CASE WHEN mask IN (1, 2, 4, 8) THEN 1 WHEN mask IN (6, 9) THEN 2 ELSE 0 END) AS convex,
+             sum(CASE WHEN mask IN (7, 11, 13, 14) THEN 1 ELSE 0 END) AS concave
+      FROM around GROUP BY 1, 2),
+    sides AS (
+      SELECT p.raster_id, p.component, 4 * count(DISTINCT p.code) - count(q.code) AS length, count(DISTINCT p.code) AS pixels
+      FROM comp p LEFT JOIN comp q ON q.raster_id = p.raster_id AND q.component = p.component AND abs(q.row - p.row) + abs(q.col - p.col) = 1
+      GROUP BY 1, 2)
+    SELECT raster_id, component, pixels, pixels::DOUBLE AS area, (convex + concave)::INTEGER AS vertex_count, length::DOUBLE AS length
+    FROM corners JOIN sides USING (raster_id, component) WHERE convex - concave = 4""")
+def component_outlines(spark, sf):
+    """Exterior rings of the components without a hole, in pixel units."""
+    faces = R.open_faces(D.pixels(spark, sf), "value", 0.2, 1, 0)
+    components = cut_lineage(R.connected_components(faces, tile=16))
+    rings = computed_once(R.face_rings(components), rings=F.array(F.transform("corners", lambda p: G.point(p["col"], p["row"]))))
+    sized = rings.join(R.face_sizes(components).select("raster_id", "component", "pixels"), ["raster_id", "component"])
+    measured = computed_once(sized, area=G.polygon_area("rings"), length=G.perimeter("rings"), vertex_count=G.vertex_count("rings"))
+    return measured.where("area = pixels").select("raster_id", "component", "pixels", "area", "vertex_count", "length")
+
+
 @query("R10 A11 W5 A10")
 def calibration_trials(spark, sf):
     dims = D.raster_dims(spark, sf)

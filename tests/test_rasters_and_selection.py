@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,58 @@ def test_compare_identical_layers_and_empty_target(make_layer):
     assert row.median_candidate_area_m2 == 100
     none = C.best_iou(make_layer(rows), make_layer(rows).limit(0), ["project_id"])
     assert [r.best_iou for r in none.collect()] == [0, 0, 0, 0]
+
+
+def walked(pixels):
+    """Exterior ring by walking a dense grid corner by corner."""
+    rows, cols = zip(*pixels)
+    r0, c0 = min(rows) - 1, min(cols) - 1
+    inside = {(r - r0, c - c0) for r, c in pixels}
+    moves = ((0, 1), (1, 0), (0, -1), (-1, 0))
+    at, heading = min(inside), 0
+    start, ring = (at, heading), [at]
+    while True:
+        at = (at[0] + moves[heading][0], at[1] + moves[heading][1])
+        y, x = at
+        right, left = (((y, x), (y - 1, x)), ((y, x - 1), (y, x)), ((y - 1, x - 1), (y, x - 1)), ((y - 1, x), (y - 1, x - 1)))[heading]
+        turned = (heading + 1) % 4 if right not in inside else (heading + 3) % 4 if left in inside else heading
+        if turned != heading:
+            ring.append(at)
+        heading = turned
+        if (at, heading) == start:
+            break
+    ring = ring if ring[-1] == ring[0] else [*ring, ring[0]]
+    return [(float(y + r0), float(x + c0)) for y, x in ring]
+
+
+def test_rings_from_edges_equal_a_walk():
+    rng = random.Random(2)
+    for _ in range(200):
+        grid = {(r, c) for r in range(9) for c in range(9) if rng.random() < 0.62}
+        seed = min(grid)
+        component, todo = {seed}, [seed]
+        while todo:
+            r, c = todo.pop()
+            for p in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                if p in grid and p not in component:
+                    component.add(p)
+                    todo.append(p)
+        codes = np.array(rng.sample([r * R._SHIFT + c for r, c in component], len(component)))
+        rows, cols = R._trace(codes)
+        assert list(zip(rows.tolist(), cols.tolist())) == walked(component)
+
+
+def test_a_thin_net_twenty_thousand_pixels_wide():
+    """A dense box of it would hold 400 million cells."""
+    import tracemalloc
+
+    n = 20_000
+    line = np.arange(n, dtype=np.int64)
+    codes = np.unique(np.concatenate([5 * R._SHIFT + line, line * R._SHIFT + 7, (n - 1) * R._SHIFT + line]))
+    tracemalloc.start()
+    rows, cols = R._trace(codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    area = abs((rows[:-1] * cols[1:] - rows[1:] * cols[:-1]).sum()) / 2
+    assert area == len(codes) and (rows.max(), cols.max()) == (n, n)
