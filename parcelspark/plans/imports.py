@@ -86,13 +86,17 @@ def score_payload(payload: DataFrame, lonlat: bool = True) -> DataFrame:
 
 
 def import_payload(payload: DataFrame, captured_at: Column, lonlat: bool = True) -> ImportOutputs:
-    """Five tables of one import. Callers persist or checkpoint ``payload`` when it is costly to read."""
-    s = score_payload(payload, lonlat)
+    """Five tables of one import, as plans (``jobs.import_job`` writes them from one scoring pass)."""
+    return import_outputs(score_payload(payload, lonlat), captured_at)
+
+
+def import_outputs(s: DataFrame, captured_at: Column) -> ImportOutputs:
+    """The five tables of scored payload rows."""
     return ImportOutputs(
         parcels=s.select(
             "id", "project_id", "rings", F.lit("ai_extracted").alias("source"), "status", "confidence_score",
             "health_score", F.lit(None).cast("string").alias("land_use"), "area_sqm", F.lit(1).alias("version")),
-        versions=payload.select(
+        versions=s.select(
             F.col("id").alias("parcel_id"), F.col("baseline_rings").alias("rings"), captured_at.alias("captured_at"),
             F.lit("vectorization_before_rl").alias("source")),
         evidence=s.select(F.col("id").alias("parcel_id"), F.explode(evidence_items(F.col("discrepancy"))).alias("_e")).select(

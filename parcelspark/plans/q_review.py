@@ -4,12 +4,16 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import identity as I
+from ..functions import projection as P
 from ..functions import scoring as S
 from ..operators import contracts as K
 from ..operators import replay as X
 from ..operators import review as V
+from ..session import shared_folder
 from ..sources import domain as D
+from ..sources.commits import read_together
 from .imports import import_features, import_payload
+from .jobs import import_job
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
@@ -189,7 +193,7 @@ def replayed_anomalies(spark, sf):
 
 def _assigns(spark, sf):
     o = D.table(spark, sf, "orders")
-    return o.where(F.col("o_orderkey") % 2 == 0).select(
+    return o.select(
         (F.col("o_orderkey") + 1_000_000_000).alias("event_id"),
         F.floor(F.col("o_orderkey") / 2).cast("long").alias("queue_id"),
         F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey") % 130).alias("assigned_to"),
@@ -202,7 +206,7 @@ _ASSIGNS = """
                     AND c.created_at >= q.created_at AND c.created_at <= a.happened) THEN 'completed' END AS refusal
     FROM (SELECT o_orderkey + 1000000000 AS event_id, CAST(floor(o_orderkey / 2) AS BIGINT) AS queue_id,
                  CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey % 130 END AS assigned_to, o_orderdate AS happened
-          FROM orders WHERE o_orderkey % 2 = 0) a JOIN v_queue q USING (queue_id)"""
+          FROM orders) a JOIN v_queue q USING (queue_id)"""
 
 
 def _verdicts(spark, sf):
@@ -264,6 +268,21 @@ _PAYLOAD = """
       FROM v_parcel_area a JOIN v_ref_area r USING (id) JOIN v_parcel_ref_inter i ON i.a_id = a.id AND i.b_id = a.id)"""
 
 
+_SOUTH = "(23.3 + (project_id % 100) * 0.02 + {y} * 1e-5)"
+
+
+def _band(lat: str) -> str:
+    """Ellipsoidal area north of the equator per radian, over the squared axis."""
+    s = f"sin(radians({lat}))"
+    return f"(1 - {P._E2!r}) * ({s} / (1 - {P._E2!r} * {s} ** 2) + atanh({P._E!r} * {s}) / {P._E!r}) / 2"
+
+
+# area of a box on the equal-area plane, from sides in steps of 1e-5 degrees
+_PLANE = (
+    f"{P.WGS84_A!r}::DOUBLE ** 2 * radians(({{x1}} - {{x0}}) * 1e-5) * ("
+    + _band(_SOUTH.replace("{y}", "{y1}")) + " - (" + _band(_SOUTH.replace("{y}", "{y0}")) + "))")
+
+
 def _imported(spark, sf):
     return import_payload(_payload(spark, sf), F.lit("2024-01-01").cast("timestamp"), lonlat=False)
 
@@ -312,6 +331,50 @@ def imported_queue(spark, sf):
     return _imported(spark, sf).queue
 
 
+def _imported_lonlat(spark, sf):
+    """The payload on longitude and latitude, imported by the write job into a new root and read back."""
+    place = lambda c: G.map_points(c, lambda x, y: G.point(85.3 + x * 1e-5, 23.3 + (F.col("project_id") % 100) * 0.02 + y * 1e-5))
+    payload = _payload(spark, sf).withColumns({"rings": place("rings"), "baseline_rings": place("baseline_rings")})
+    root = shared_folder(spark, "import")
+    projects = payload.select("project_id").distinct()
+    import_job(payload, D.parcels(spark, sf).where("false"), projects, root, "run-1", F.lit("2024-01-01").cast("timestamp"))
+    return read_together(spark, root, "run-1")
+
+
+# parcels and references are boxes on both axes of the equal-area plane, so areas follow from box sides
+_LONLAT = f"""
+    SELECT *, least(1.0, 0.4 * ratio + 0.6 * share) AS d FROM (
+      SELECT a.id, (a.id * 37 % 1000) / 1000.0::DOUBLE AS c, 1 - (a.id * 7 % 10) / 100.0::DOUBLE AS t, a.area,
+             least(1.0, abs(a.area - r.area) / r.area) AS ratio, least(1.0, (a.area + r.area - 2 * i.inter) / (a.area + r.area - i.inter)) AS share
+      FROM (SELECT id, sum(s * {_PLANE.format(x0='x0', x1='x1', y0='y0', y1='y1')}) AS area FROM v_parcel_boxes GROUP BY 1) a
+      JOIN (SELECT id, {_PLANE.format(x0='x0', x1='x1', y0='y0', y1='y1')} AS area FROM v_ref_boxes) r USING (id)
+      JOIN (SELECT id, sum(s * CASE WHEN lx < hx AND ly < hy THEN {_PLANE.format(x0='lx', x1='hx', y0='ly', y1='hy')} ELSE 0 END) AS inter
+            FROM (SELECT p.id, p.project_id, p.s, greatest(p.x0, r.x0) AS lx, least(p.x1, r.x1) AS hx, greatest(p.y0, r.y0) AS ly, least(p.y1, r.y1) AS hy
+                  FROM v_parcel_boxes p JOIN v_ref_boxes r USING (id)) GROUP BY 1) i USING (id))"""
+
+
+@query("T6 S11 F3", f"""
+    SELECT id, CASE WHEN c >= 0.85 THEN 'ai_processed' ELSE 'needs_review' END AS status, round(area, 4) AS area_sqm, 5 AS evidence_rows, 1 AS version_rows,
+           (c < 0.60)::INT + (d >= 0.30)::INT + (t < 0.999)::INT + (ratio >= 0.50)::INT AS anomaly_rows,
+           round(0.4 * c + 0.2 * CASE WHEN t < 0.999 THEN 0 ELSE 1 END + 0.2 * (1 - d) + 0.2 * (1 - ratio), 4) AS health_score,
+           round(0.40 * (1 - c) + 0.25 * d + 0.15 * ratio + 0.10 * (t < 0.999)::INT
+                 + 0.10 * least(1.0, ((c < 0.60)::INT + (d >= 0.30)::INT + (t < 0.999)::INT + (ratio >= 0.50)::INT) / 3.0), 4) AS priority_score
+    FROM ({_LONLAT})""")
+def imported_tables(spark, sf):
+    t = _imported_lonlat(spark, sf)
+
+    def rows(name):
+        return t[name].groupBy(F.col("parcel_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias(f"{name}_n"))
+
+    out = t["parcels"].select("id", "status", F.round("area_sqm", 4).alias("area_sqm"), "health_score")
+    for name in ("evidence", "versions", "anomalies"):
+        out = out.join(rows(name), "id", "left")
+    out = out.join(t["queue"].select(F.col("parcel_id").alias("id"), "priority_score"), "id")
+    return out.select(
+        "id", "status", "area_sqm", F.col("evidence_n").alias("evidence_rows"), F.col("versions_n").alias("version_rows"),
+        F.coalesce("anomalies_n", F.lit(0)).alias("anomaly_rows"), "health_score", "priority_score")
+
+
 def _feature_rows(spark, sf):
     k = F.col("id")
     return D.lonlat_layer(spark, sf).select(
@@ -454,7 +517,7 @@ def unknown_assignees(spark, sf):
 def review_export_contract(spark, sf):
     rows = _outcomes(spark, sf).withColumn(
         "false_positive_class", F.when(F.col("parcel_id") % 2 == 1, F.col("false_positive_class")))
-    head = rows.limit(1).select(F.lit("labels.v1").alias("schema_version"), F.lit("FeatureCollection").alias("type"))
+    head = spark.range(1).select(F.lit("labels.v1").alias("schema_version"), F.lit("FeatureCollection").alias("type"))
     return K.review_export_violations(head, rows, "labels.v1")
 
 
