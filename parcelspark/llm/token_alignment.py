@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from .common import BLOCK_BYTES, byte_rows, runs_by_bytes, stored, texts
 
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
-KEPT_WORDS = 200_000  # words whose ids a worker remembers
+KEPT_WORDS = 400_000  # words whose ids a worker remembers
 KEPT_BYTES = 64  # longer words are encoded each time
 LINKS_AT_ONCE = 1 << 20
+ID = np.dtype("<u4")
 STRIDE = 8  # drivers between two that gallop from their coarser neighbour
 # Pairs whose counts are broadcast: 16 bytes each, so never more than about 8 MB whatever the corpus.
 BROADCAST_PAIRS = 500_000
@@ -108,40 +110,60 @@ class Vocabularies:
 
         self.a_text, self.b_text = written(len(self.a_bytes), ",", "|"), written(len(self.b_bytes), ",", ";")
 
-        self.known: dict[str, tuple[list[int], list[int], bool]] = {}
+        # word -> its ids as bytes; and the words that the tokens of a side do not spell
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.misspelled: set[str] = set()
 
     def words(self, text: str) -> list[str]:
         """A text cut before spaces; a cut space is left out, as each side puts one in front of a word."""
         return (SAFE_CUT.split(text) if self.cuts else [text]) if text else []
 
-    def same(self, a: list[int], b: list[int], text: str) -> bool:
-        want = b" " + text.encode()
-        return b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
-
-    def learn(self, words: set[str]) -> dict[str, tuple[list[int], list[int], bool]]:
-        """word -> ids of both sides and whether their bytes are those of the word; unknown words are encoded in one batch."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        missing = [w for w in words if w not in self.known]
-        a = (e.ids for e in self.a.encode_batch_fast([" " + w for w in missing], add_special_tokens=False))
-        new = {w: (x, y, self.same(x, y, w)) for w, x, y in zip(missing, a, self.b.encode(missing, num_threads=1) if missing else [], strict=True)}
-        self.known.update((w, v) for w, v in new.items() if len(w) <= KEPT_BYTES)
-        return {w: new[w] if w in new else self.known[w] for w in words}
+    def spelled(self, ids: np.ndarray, entries: list[bytes]) -> bytes:
+        return b"".join(map(entries.__getitem__, ids.tolist()))
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Know the ids of all words; those not known are encoded in one batch. Returns the words too long to keep."""
+        if len(self.known_a) > KEPT_WORDS:
+            for kept in (self.known_a, self.known_b, self.misspelled):
+                kept.clear()
+        missing = [w for w in words if w not in self.known_a]
+        if not missing:
+            return []
+        sides = []
+        for found, entries in (
+            ([e.ids for e in self.a.encode_batch_fast([" " + w for w in missing], add_special_tokens=False)], self.a_bytes),
+            (self.b.encode(missing, num_threads=1), self.b_bytes),
+        ):
+            flat = np.fromiter(chain.from_iterable(found), ID)
+            sides.append((flat, np.concatenate([[0], np.cumsum([len(f) for f in found])]).tolist(), entries))
+        want = "".join([" " + w for w in missing]).encode()
+        right = all(self.spelled(flat, entries) == want for flat, _, entries in sides)
+        for known, (flat, at, _) in zip((self.known_a, self.known_b), sides, strict=True):
+            ids = flat.tobytes()
+            places = [ID.itemsize * k for k in at]
+            known.update(zip(missing, [ids[p:q] for p, q in zip(places[:-1], places[1:], strict=True)], strict=True))
+        if not right:
+            self.misspelled.update(
+                w for k, w in enumerate(missing)
+                if any(self.spelled(flat[at[k]:at[k + 1]], entries) != b" " + w.encode() for flat, at, entries in sides))
+        return [w for w in missing if len(w) > KEPT_BYTES]
 
     def encode(self, rows: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides of each text; none where the bytes of the tokens are not those of the text."""
-        texts_ = [r.decode() for r in rows]
-        split = [self.words(t) for t in texts_]
-        ids = self.learn(set().union(*split))
+        split = [self.words(r.decode()) for r in rows]
+        long_words = self.learn(set().union(*split))
         a_out, b_out = [], []
-        for text, words in zip(texts_, split, strict=True):
-            found = [ids[w] for w in words]
-            a = [i for f in found for i in f[0]]
-            b = [i for f in found for i in f[1]]
-            if not all(f[2] for f in found) and not self.same(a, b, text):
-                a, b = [], []
-            a_out.append(np.array(a, np.int64))
-            b_out.append(np.array(b, np.int64))
+        for row, words in zip(rows, split, strict=True):
+            a = np.frombuffer(b"".join(map(self.known_a.__getitem__, words)), ID)
+            b = np.frombuffer(b"".join(map(self.known_b.__getitem__, words)), ID)
+            doubtful = self.misspelled and not self.misspelled.isdisjoint(words)
+            if doubtful and not (self.spelled(a, self.a_bytes) == self.spelled(b, self.b_bytes) == b" " + row):
+                a, b = a[:0], b[:0]
+            a_out.append(a)
+            b_out.append(b)
+        for w in long_words:
+            del self.known_a[w], self.known_b[w]
         return a_out, b_out
 
 
@@ -189,7 +211,7 @@ def align_block(vocab: Vocabularies, rows: list[bytes]):
     """For each text: counts of tokens, groups and links, the written groups, distinct linked pairs (a << 32 | b) and their counts."""
     a_ids, b_ids = vocab.encode(rows)
     a_n, b_n = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
-    a, b = np.concatenate(a_ids), np.concatenate(b_ids)
+    a, b = (np.concatenate(ids).astype(np.int64) for ids in (a_ids, b_ids))
     # texts lie one after the other, so the end of each is a common end and no group crosses texts
     a_end, b_end = np.cumsum(vocab.a_size[a]), np.cumsum(vocab.b_size[b])
     a_at, b_at = common_ends(a_end, b_end)
