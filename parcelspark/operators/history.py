@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centroid, distance, polygon_area
@@ -16,13 +16,9 @@ from .skew import chunked_lag, latest_by, salted_lookup
 VERSION_ORDER = ["captured_at", "version_id"]
 
 
-def month_of(ts: str = "captured_at") -> Column:
-    return F.date_trunc("month", ts)
-
-
 def with_previous_area(versions: DataFrame, area: str = "area_sqm") -> DataFrame:
     """Each version with ``prev_<area>`` of the version before it."""
-    return chunked_lag(versions, ["parcel_id"], VERSION_ORDER, month_of(), [area])
+    return chunked_lag(versions, ["parcel_id"], VERSION_ORDER, None, [area])
 
 
 def latest_version(versions: DataFrame, keep: list[str]) -> DataFrame:
@@ -40,7 +36,7 @@ def historical_volatility(versions: DataFrame, area: str = "area_sqm") -> DataFr
 
 def version_changes(versions: DataFrame, area: str = "area_sqm") -> DataFrame:
     """One row per pair of consecutive versions: ratio, capped discrepancy, severity, text."""
-    steps = chunked_lag(versions, ["parcel_id"], VERSION_ORDER, month_of(), [area, "captured_at"])
+    steps = chunked_lag(versions, ["parcel_id"], VERSION_ORDER, None, [area, "captured_at"])
     prev = F.col(f"prev_{area}")
     ratio = area_ratio(F.col(area), prev)
     capped = F.least(F.lit(1.0), ratio)

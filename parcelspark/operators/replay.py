@@ -31,10 +31,6 @@ def refusal(kind: Column, correction_type: Column, label: Column) -> Column:
         label.isNotNull() & (correction_type != "reject"), LABEL_TEXT))
 
 
-def _month(column: str = "at") -> Column:
-    return F.date_trunc("month", column)
-
-
 @dataclass
 class Replay:
     parcels: DataFrame
@@ -102,7 +98,7 @@ def current_parcels(parcels: DataFrame, effects: DataFrame, geodesic: bool = Fal
 def archived_versions(applied: DataFrame, parcels: DataFrame, effects: DataFrame) -> DataFrame:
     """The boundary each geometry event replaced, with the source the parcel had then."""
     shaped = applied.where(F.col("rings").isNotNull()).select("parcel_id", *ORDER, "rings")
-    lagged = chunked_lag(shaped, ["parcel_id"], ORDER, _month(), ["rings"])
+    lagged = chunked_lag(shaped, ["parcel_id"], ORDER, None, ["rings"])
     base = parcels.select("parcel_id", F.col("rings").alias("_base"), F.col("source").alias("_source")).join(
         effects.select("parcel_id", "_first_accept"), "parcel_id")
     joined = salted_lookup(lagged.drop("rings"), base, ["parcel_id"], "inner", spread=["event_id"])
@@ -121,10 +117,10 @@ def correction_rows(applied: DataFrame, parcels: DataFrame) -> DataFrame:
     """
     shaped = F.when(F.col("rings").isNotNull(), F.struct(*ORDER))
     marked = applied.select("event_id", "parcel_id", "at", "kind", "correction_type", "review_label", "rings", shaped.alias("_shape"))
-    seen = chunked_running_max(marked, ["parcel_id"], ORDER, _month(), "_shape", "_upto")
+    seen = chunked_running_max(marked, ["parcel_id"], ORDER, None, "_shape", "_upto")
     own = seen.select("*", F.when(F.col("_shape").isNull(), F.col("_upto.event_id")).alias("_source"))
     lagged = chunked_lag(
-        marked.where(F.col("_shape").isNotNull()).select("parcel_id", *ORDER, "rings"), ["parcel_id"], ORDER, _month(), ["rings"])
+        marked.where(F.col("_shape").isNotNull()).select("parcel_id", *ORDER, "rings"), ["parcel_id"], ORDER, None, ["rings"])
     before = lagged.select(F.col("event_id").alias("_own"), F.col("prev_rings").alias("_prev"), F.col("rings").alias("_now"))
     base = parcels.select("parcel_id", F.col("rings").alias("_base"))
     decided = own.where(F.col("kind") == "verify").withColumn("_own", F.coalesce(F.when(F.col("_shape").isNotNull(), F.col("event_id")), F.col("_source")))
@@ -222,7 +218,7 @@ def assignment_verdicts(assigns: DataFrame, queue: DataFrame, decisions: DataFra
         F.lit(None).cast("timestamp").alias("_decided")
     ).unionByName(decisions.select(
         "parcel_id", "at", "event_id", F.col("at").alias("_decided")), allowMissingColumns=True)
-    seen = chunked_running_max(timeline, ["parcel_id"], ["at", "event_id"], _month(), "_decided", "_last_decision")
+    seen = chunked_running_max(timeline, ["parcel_id"], ["at", "event_id"], None, "_decided", "_last_decision")
     # decisions are not assignments
     asked = seen.where(F.col("_decided").isNull()).drop("_decided").unionByName(lost.select(
         "parcel_id", "at", "event_id", "queue_id", "assigned_to", "_stored", "created_at", "_known", "_last_decision"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_SALT = 1_000_000
+# A key with more rows than this is ordered in several chunks.
+ROWS_PER_CHUNK = 1_000_000
 # Rows without a key are spread over so many tasks.
 NULL_SALTS = 4096
 
@@ -81,22 +87,57 @@ def earliest_by(df: DataFrame, keys: list[str], order: list[str], keep: list[str
     return df.groupBy(*keys).agg(best).select(*keys, "_best.*")
 
 
+def ordered_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """``df`` with ``_chunk``, a number that does not decrease along ``order`` within a key.
+
+    Keys are counted first. A key of up to ``rows_per_chunk`` rows is one chunk. The rows of larger keys are ranged by
+    (key, order) over tasks and a chunk is what fell into one range, so it follows the number of rows and not the
+    calendar: a key whose rows all have one date is cut as finely as any other.
+    """
+    counts = df.groupBy(*keys).count().where(F.col("count") > rows_per_chunk)
+    # one row per large key: at most rows / rows_per_chunk of them
+    large = cut_lineage(counts.select(*[F.col(k).alias(f"_large_{k}") for k in keys], "count"))
+    rows = large.agg(F.sum("count")).first()[0]
+    if not rows:
+        return df.withColumn("_chunk", F.lit(0))
+    same = _same(df, large, keys, "_large_")
+    ranged = df.join(large, same, "left_semi").repartitionByRange(max(2, -(-2 * rows // rows_per_chunk)), *keys, *order)
+    ranged = cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id() + 1))
+    return df.join(large, same, "left_anti").withColumn("_chunk", F.lit(0)).unionByName(ranged)
+
+
+def _same(df: DataFrame, other: DataFrame, keys: list[str], prefix: str) -> Column:
+    """Equal keys, null with null; those of ``other`` carry the prefix."""
+    return reduce(lambda a, b: a & b, [df[k].eqNullSafe(other[f"{prefix}{k}"]) for k in keys])
+
+
+def _chunks(df: DataFrame, keys: list[str], order: list, chunk: Column | None) -> DataFrame:
+    return ordered_chunks(df, keys, order) if chunk is None else df.withColumn("_chunk", chunk)
+
+
+def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what the chunks before theirs leave (``carry``: keys, _chunk and other columns)."""
+    marks = [*keys, "_chunk"]
+    named = carry.withColumnsRenamed({k: f"_of_{k}" for k in marks})
+    return rows.join(named, _same(rows, named, marks, "_of_"), "left").drop(*[f"_of_{k}" for k in marks])
+
+
 def chunked_lag(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    chunk: Column,
+    chunk: Column | None,
     values: list[str],
     prefix: str = "prev_",
 ) -> DataFrame:
     """``lag(values)`` per key without sorting a whole key in one task.
 
-    ``chunk`` must not decrease along ``order`` (a date truncation, a value
-    bucket). Rows are ordered inside (key, chunk); only the last row of every
+    ``chunk`` must not decrease along ``order`` (a value bucket); without one,
+    chunks are counted ranges (:func:`ordered_chunks`). Rows are ordered inside (key, chunk); only the last row of every
     chunk is carried to the next chunk of the same key, so a key with a third
     of all rows is worked on by as many tasks as it has chunks.
     """
-    parts = df.withColumn("_chunk", chunk)
+    parts = _chunks(df, keys, order, chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     packed = F.struct(*values)
     rows = parts.withColumn("_lag", F.lag(packed).over(inside)).withColumn(
@@ -108,20 +149,20 @@ def chunked_lag(
         .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")))
         .select(*keys, "_chunk", "_carry")
     )
-    joined = rows.join(carry, [*keys, "_chunk"], "left")
+    joined = _with_carry(rows, carry, keys)
     lagged = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
     return joined.withColumn("_lagged", lagged).select(
         *df.columns, *[F.col("_lagged")[v].alias(prefix + v) for v in values]
     )
 
 
-def chunked_rank(df: DataFrame, keys: list[str], order: list, chunk: Column, out: str) -> DataFrame:
+def chunked_rank(df: DataFrame, keys: list[str], order: list, chunk: Column | None, out: str) -> DataFrame:
     """0-based rank per key; ``chunk`` must not decrease along ``order``.
 
     Rows are numbered inside (key, chunk) and shifted by the row counts of the
     chunks before, so no key is sorted in one task.
     """
-    parts = df.withColumn("_chunk", chunk)
+    parts = _chunks(df, keys, order, chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -129,16 +170,16 @@ def chunked_rank(df: DataFrame, keys: list[str], order: list, chunk: Column, out
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     )
     return (
-        parts.withColumn("_rn", F.row_number().over(inside)).join(offsets, [*keys, "_chunk"])
+        _with_carry(parts.withColumn("_rn", F.row_number().over(inside)), offsets, keys)
         .withColumn(out, F.col("_before") + F.col("_rn") - 1).select(*df.columns, out)
     )
 
 
 def chunked_running_max(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, out: str
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column | None, value: str, out: str
 ) -> DataFrame:
     """Largest ``value`` up to and including each row, per key, with the same chunking as the lag."""
-    parts = df.withColumn("_chunk", chunk)
+    parts = _chunks(df, keys, order, chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -146,7 +187,7 @@ def chunked_running_max(
         .withColumn("_carry", F.max("_m").over(earlier)).drop("_m")
     )
     return (
-        parts.withColumn("_here", F.max(value).over(inside)).join(carry, [*keys, "_chunk"], "left")
+        _with_carry(parts.withColumn("_here", F.max(value).over(inside)), carry, keys)
         .withColumn(out, F.greatest("_here", "_carry")).select(*df.columns, out)
     )
 

@@ -354,7 +354,7 @@ _LONLAT = f"""
 
 
 @query("T6 S11 F3", f"""
-    SELECT id, CASE WHEN c >= 0.85 THEN 'ai_processed' ELSE 'needs_review' END AS status, round(area, 4) AS area_sqm, 5 AS evidence_rows, 1 AS version_rows,
+    SELECT id, CASE WHEN c >= 0.85 THEN 'ai_processed' ELSE 'needs_review' END AS status, round(area, 2) AS area_sqm, 5 AS evidence_rows, 1 AS version_rows,
            (c < 0.60)::INT + (d >= 0.30)::INT + (t < 0.999)::INT + (ratio >= 0.50)::INT AS anomaly_rows,
            round(0.4 * c + 0.2 * CASE WHEN t < 0.999 THEN 0 ELSE 1 END + 0.2 * (1 - d) + 0.2 * (1 - ratio), 4) AS health_score,
            round(0.40 * (1 - c) + 0.25 * d + 0.15 * ratio + 0.10 * (t < 0.999)::INT
@@ -366,7 +366,7 @@ def imported_tables(spark, sf):
     def rows(name):
         return t[name].groupBy(F.col("parcel_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias(f"{name}_n"))
 
-    out = t["parcels"].select("id", "status", F.round("area_sqm", 4).alias("area_sqm"), "health_score")
+    out = t["parcels"].select("id", "status", F.round("area_sqm", 2).alias("area_sqm"), "health_score")
     for name in ("evidence", "versions", "anomalies"):
         out = out.join(rows(name), "id", "left")
     out = out.join(t["queue"].select(F.col("parcel_id").alias("id"), "priority_score"), "id")

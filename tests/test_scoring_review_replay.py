@@ -11,7 +11,7 @@ from parcelspark.operators import replay as X
 from parcelspark.operators import reports as R
 from parcelspark.operators import review as V
 from parcelspark.operators import selection as L
-from parcelspark.operators.skew import chunked_lag, chunked_rank, exact_quantiles, rows_listed, rows_not_listed, salted_lookup, value_chunk
+from parcelspark.operators.skew import chunked_lag, chunked_rank, chunked_running_max, ordered_chunks, exact_quantiles, rows_listed, rows_not_listed, salted_lookup, value_chunk
 
 
 def value(spark, column):
@@ -203,3 +203,30 @@ def test_split_schedule():
     plan = L.split_schedule(9, 3, 3)
     assert [s for s, _ in plan[:8]] == ["train", "validation", "train", "test"] * 2
     assert sum(s == "train" for s, _ in plan) == 9 and plan[0][1] == "train_selected_0" and plan[-1] == ("train", "train_selected_8")
+
+
+def test_a_hot_key_on_one_day_is_cut_by_counts(spark, monkeypatch):
+    from parcelspark.operators import skew
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    monkeypatch.setattr(skew.ordered_chunks, "__defaults__", (200,))
+    try:
+        # key 1 holds a third of the rows, all with one time; key null is large too
+        rows = [(1, "2024-05-01", i) for i in range(3000)] + [(None, "2024-05-01", 50_000 + i) for i in range(900)]
+        rows += [(2 + i % 700, f"2024-0{1 + i % 9}-01", 10_000 + i) for i in range(5100)]
+        df = spark.createDataFrame(rows, "k long, at string, id long").withColumn("v", F.col("id") * 7 % 1000).repartition(6)
+        sizes = [r["count"] for r in ordered_chunks(df, ["k"], ["at", "id"]).groupBy("k", "_chunk").count().collect()]
+        assert sum(sizes) == len(rows) and max(sizes) <= 400
+        lagged = chunked_lag(df, ["k"], ["at", "id"], None, ["v"]).collect()
+        seen = {r.id: r.m for r in chunked_running_max(df, ["k"], ["at", "id"], None, "v", "m").collect()}
+        ranks = {r.id: r.n for r in chunked_rank(df, ["k"], ["at", "id"], None, "n").collect()}
+        want_lag, want_max, want_rank, last, most, n = {}, {}, {}, {}, {}, {}
+        for k, _, i in sorted(rows, key=lambda r: (r[1], r[2])):
+            v = i * 7 % 1000
+            want_lag[i], want_rank[i] = last.get(k), n.get(k, 0)
+            last[k], n[k], most[k] = v, n.get(k, 0) + 1, max(v, most.get(k, 0))
+            want_max[i] = most[k]
+        assert {r.id: r.prev_v for r in lagged} == want_lag and seen == want_max and ranks == want_rank
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
