@@ -181,6 +181,42 @@ def parcel_response_rules() -> dict[str, Column]:
     }
 
 
+def feature_rules() -> dict[str, Column]:
+    """A served parcel feature: ``feature`` is its GeoJSON text."""
+    text = F.col("feature")
+
+    def at(path: str) -> Column:
+        return F.get_json_object(text, f"$.{path}")
+
+    p = "properties"
+    number = lambda name: at(f"{p}.{name}").try_cast("double")
+    return {
+        "feature_type": at("type").isNull() | (at("type") != "Feature"),
+        "geometry_type": at("geometry.type").isNull() | (at("geometry.type") != "Polygon"),
+        "coordinates_missing": at("geometry.coordinates").isNull(),
+        "id_uuid": canonical_uuid(at(f"{p}.id")).isNull(),
+        "project_id_uuid": canonical_uuid(at(f"{p}.project_id")).isNull(),
+        "source_enum": ~F.coalesce(at(f"{p}.source").isin("ai_extracted", "existing_gis", "field_verified"), F.lit(False)),
+        "status_enum": ~F.coalesce(at(f"{p}.status").isin("ai_processed", "needs_review", "verified", "rejected"), F.lit(False)),
+        "confidence_range": (number("confidence_score") < 0) | (number("confidence_score") > 1),
+        "health_range": (number("health_score") < 0) | (number("health_score") > 1),
+        "version_positive": number("version") < 1,
+    }
+
+
+def explanation_rules() -> dict[str, Column]:
+    """An explanation response: parcel_id, explanation and components (component, score, explanation)."""
+    return {
+        "parcel_id_uuid": canonical_uuid(F.col("parcel_id")).isNull(),
+        "explanation_missing": F.col("explanation").isNull(),
+        "components_missing": F.col("components").isNull(),
+        "component_enum": F.exists("components", lambda c: ~F.coalesce(
+            c["component"].isin("segmentation", "topology", "edge_alignment", "deviation_from_baseline"), F.lit(False))),
+        "component_score_range": F.exists("components", lambda c: F.coalesce((c["score"] < 0) | (c["score"] > 1), F.lit(True))),
+        "component_text_missing": F.exists("components", lambda c: c["explanation"].isNull()),
+    }
+
+
 def queue_rules() -> dict[str, Column]:
     return {
         "queue_status_enum": ~F.col("status").isin("pending", "assigned", "completed"),

@@ -12,6 +12,7 @@ from .clipping import clip_parts
 from .grid import cross_candidates, self_candidates
 from .overlay import intersection_area
 from .pixels import HARD_CLASSES, THIN_RATIO
+from .review import combined_labels
 from .skew import salted_lookup
 from .validity import invalid_reason
 
@@ -110,6 +111,18 @@ def outside_target(windows: DataFrame, target: DataFrame) -> DataFrame:
     return windows.join(hit, "id", "left_anti")
 
 
+def readiness_messages(manifest: DataFrame, records: DataFrame, audited: DataFrame, leaks: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, level, message``: every finding behind a report, as text; a manifest's rows are not gathered.
+
+    ``leaks``: keys, l_name, l_split, r_name, r_split of windows of different splits that meet.
+    """
+    found = manifest_findings(manifest, records, keys).select(*keys, "level", "message")
+    own = record_findings(audited, keys).select(*keys, F.lit("blocker").alias("level"), "message")
+    spatial = leaks.select(*keys, F.lit("blocker").alias("level"), F.concat(
+        F.lit("Spatial split leakage: "), "l_name", F.lit(" ("), "l_split", F.lit(") intersects "), "r_name", F.lit(" ("), "r_split", F.lit(").")).alias("message"))
+    return found.unionByName(own).unionByName(spatial)
+
+
 def merge_counts(records: DataFrame, keys: list[str], counts: str = "hard_negative_counts") -> DataFrame:
     """``keys, class, features``: per-class feature counts added over records."""
     return records.select(*keys, F.explode(counts).alias("class", "n")).groupBy(*keys, "class").agg(
@@ -225,9 +238,10 @@ def dataset_report(reviewed: DataFrame, matched: DataFrame, base_records: DataFr
     r = reviewed.agg(F.count(F.lit(1)).alias("reviewed_features"))
     w = feedback_windows.agg(F.count(F.lit(1)).alias("feedback_windows"))
     b = base_records.agg(*[F.count_if(F.col("split") == s).alias(f"base_{s}") for s in REQUIRED_SPLITS])
+    c = combined_labels(base_records, feedback_windows).agg(F.count_if(F.col("split") == "train").alias("combined_train"))
     key = F.lit(1)
     out = m.withColumn("_k", key)
-    for part in (r, w, b):
+    for part in (r, w, b, c):
         out = out.join(part.withColumn("_k", key), "_k")
     ready = (
         (F.col("matched_reviewed_features") >= minimums["total"])
@@ -236,6 +250,5 @@ def dataset_report(reviewed: DataFrame, matched: DataFrame, base_records: DataFr
     return (
         out.drop("_k")
         .withColumn("unmatched_reviewed_features", F.col("reviewed_features") - F.col("matched_reviewed_features"))
-        .withColumn("combined_train", F.col("base_train") + F.col("feedback_windows"))
         .withColumn("matched_review_training_ready", ready)
         .withColumn("dataset_ready", ready & (F.col("feedback_windows") > 0)))

@@ -18,6 +18,7 @@ from .validity import with_validity
 VALIDATION_EPS = 1.0
 COUNT_EPS = 0.01
 SLIVER_RATIO = 0.05
+KINDS = ("invalid_geometry", "sliver", "overlap")
 
 
 def overlap_areas(shapes: DataFrame, scope: list[str]) -> DataFrame:
@@ -105,16 +106,28 @@ def topology_violations(layer: DataFrame, scope: list[str], eps: float = VALIDAT
     return invalid.unionByName(thin).unionByName(lapped)
 
 
-def violation_counts(violations: DataFrame, keys: list[str]) -> DataFrame:
-    return violations.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("violations"))
+def topology_counts(layer: DataFrame, scope: list[str], eps: float = VALIDATION_EPS, ratio: float = SLIVER_RATIO) -> DataFrame:
+    """``scope, parcels, invalid_geometry, sliver, overlap``: counts by kind, one row per scope.
+
+    Validity is looked at once. Overlapping pairs are counted on distinct shapes, copies by arithmetic, so a pile of
+    equal polygons costs nothing and no pair is listed to be counted.
+    """
+    checked = cut_lineage(with_validity(layer.select(*scope, "id", "rings")))
+    valid = checked.where("is_valid")
+    seen = checked.groupBy(*scope).agg(
+        F.count(F.lit(1)).alias("parcels"), F.count_if(~F.col("is_valid")).alias("invalid_geometry"))
+    thin = slivers(valid, scope, ratio).groupBy(*scope).agg(F.count(F.lit(1)).alias("sliver"))
+    lapped = overlap_totals(valid, scope, eps).select(*scope, F.col("overlap_pairs").alias("overlap"))
+    return seen.join(thin, scope, "left").join(lapped, scope, "left").fillna(0, ["sliver", "overlap"])
 
 
 def topology_report(layer: DataFrame, scope: list[str]) -> DataFrame:
     """One row per scope: counts by kind and the ``valid`` flag."""
-    found = topology_violations(layer, scope)
-    kinds = ["invalid_geometry", "sliver", "overlap"]
-    counted = found.groupBy(*scope).agg(
-        *[F.count_if(F.col("type") == k).alias(k) for k in kinds])
-    every = layer.select(*scope).distinct()
-    filled = every.join(counted, scope, "left").fillna(0, kinds)
-    return filled.withColumn("valid", sum(F.col(k) for k in kinds) == 0)
+    counted = topology_counts(layer, scope)
+    return counted.drop("parcels").withColumn("valid", sum(F.col(k) for k in KINDS) == 0)
+
+
+def violation_counts(layer: DataFrame, scope: list[str]) -> DataFrame:
+    """``type, violations`` over all scopes; kinds without a finding are left out."""
+    totals = topology_counts(layer, scope).agg(*[F.sum(k).alias(k) for k in KINDS])
+    return totals.unpivot([], list(KINDS), "type", "violations").where(F.col("violations") > 0)

@@ -114,11 +114,31 @@ def topology_violations_by_parcel(spark, sf):
     return T.topology_violation(D.parcel_layer(spark, sf), SCOPE)
 
 
-@query("A12 U5", """
-    SELECT p.project_id, 0 AS invalid_geometry, 0 AS sliver, count(o.l_id) AS overlap, count(o.l_id) = 0 AS valid
-    FROM v_projects p LEFT JOIN v_overlap_pairs o ON o.project_id = p.project_id AND inter_area > 1.0 GROUP BY 1""")
+def _with_faults(spark, sf):
+    """The parcel layer with a crossed boundary for every 11th parcel and a sliver beside the layer for every 13th."""
+    k, x, y = F.col("id"), F.col("rings")[0][0]["x"], F.col("rings")[0][0]["y"]
+    bow = F.array(G.ring([(x, y), (x + 9, y + 7), (x + 9, y), (x, y + 9), (x, y)]))
+    thin = G.box_polygon(x + 10_000, y, x + 10_005, y + 5)
+    return computed_once(D.parcel_layer(spark, sf), rings=F.when(k % 11 == 0, bow).when(k % 13 == 0, thin).otherwise(F.col("rings")))
+
+
+@query("A12 U5 G11", """
+    SELECT p.project_id, p.invalid_geometry, p.sliver, count(o.l_id) AS overlap, p.invalid_geometry + p.sliver + count(o.l_id) = 0 AS valid
+    FROM (SELECT project_id, count(*) FILTER (WHERE id % 11 = 0) AS invalid_geometry, count(*) FILTER (WHERE id % 13 = 0 AND id % 11 <> 0) AS sliver
+          FROM v_lattice GROUP BY 1) p
+    LEFT JOIN v_overlap_pairs o ON o.project_id = p.project_id AND inter_area > 1.0
+      AND l_id % 11 <> 0 AND l_id % 13 <> 0 AND r_id % 11 <> 0 AND r_id % 13 <> 0 GROUP BY 1, 2, 3""")
 def topology_report(spark, sf):
-    return T.topology_report(D.parcel_layer(spark, sf), SCOPE)
+    return T.topology_report(_with_faults(spark, sf), SCOPE)
+
+
+@query("A12 U5 A13", """
+    SELECT project_id, id, 'invalid_geometry' AS type FROM v_lattice WHERE id % 11 = 0
+    UNION ALL SELECT project_id, id, 'sliver' FROM v_lattice WHERE id % 13 = 0 AND id % 11 <> 0
+    UNION ALL SELECT project_id, l_id, 'overlap' FROM v_overlap_pairs
+    WHERE inter_area > 1.0 AND l_id % 11 <> 0 AND l_id % 13 <> 0 AND r_id % 11 <> 0 AND r_id % 13 <> 0""")
+def topology_findings(spark, sf):
+    return T.topology_violations(_with_faults(spark, sf), SCOPE).select("project_id", "id", "type")
 
 
 @query("A12 A26", """
@@ -129,12 +149,6 @@ def small_parcels(spark, sf):
     return _r(T.slivers(D.parcel_layer(spark, sf), SCOPE, 0.85), "area", "median_area")
 
 
-def _phases(spark, sf):
-    before = T.topology_violations(D.parcel_layer(spark, sf), SCOPE).withColumn("phase", F.lit("before"))
-    after = T.topology_violations(D.reference_layer(spark, sf), SCOPE).withColumn("phase", F.lit("after"))
-    return before.unionByName(after)
-
-
 @query("A13 U5", """
     SELECT 'before' AS phase, 'overlap' AS type, count(*) AS violations FROM v_overlap_pairs WHERE inter_area > 1.0
     UNION ALL
@@ -142,7 +156,8 @@ def _phases(spark, sf):
     WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 1.0
     HAVING count(*) > 0""")
 def violations_before_and_after(spark, sf):
-    return T.violation_counts(_phases(spark, sf), ["phase"])
+    before = T.violation_counts(D.parcel_layer(spark, sf), SCOPE).select(F.lit("before").alias("phase"), "type", "violations")
+    return before.unionByName(T.violation_counts(D.reference_layer(spark, sf), SCOPE).select(F.lit("after").alias("phase"), "type", "violations"))
 
 
 @query("G11 V4 V24", "SELECT project_id, id, CASE WHEN id % 11 = 0 THEN 'self_intersection' WHEN id % 13 = 0 THEN 'not_closed' END AS invalid_reason FROM v_lattice")

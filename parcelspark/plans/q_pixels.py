@@ -11,6 +11,8 @@ from ..operators import readiness as Y
 from ..operators import selection as L
 from ..operators import contracts as K
 from ..operators.compare import report_deltas
+from ..operators.refinement import refinement_report as refinement_of
+from ..operators.refinement import rollout_totals
 from ..operators.skew import salted_lookup
 from ..session import cut_lineage
 from ..sources import domain as D
@@ -414,8 +416,8 @@ def reviewed_dataset_report(spark, sf):
 
     reviewed = D.parcels(spark, sf).where(F.col("status").isin("verified", "rejected")).withColumn(
         "training_role", F.when(F.col("status") == "verified", "positive_boundary").otherwise("hard_negative"))
-    return Y.dataset_report(reviewed, reviewed.where(F.col("parcel_id") % 2 == 0), _records(spark, sf),
-                            D.table(spark, sf, "nation"), MINIMUMS)
+    windows = D.table(spark, sf, "nation").select(F.concat(F.lit("reviewed_"), F.col("n_nationkey").cast("string")).alias("name"), F.lit("train").alias("split"))
+    return Y.dataset_report(reviewed, reviewed.where(F.col("parcel_id") % 2 == 0), _records(spark, sf), windows, MINIMUMS)
 
 
 # --- refinement, gates, trials -----------------------------------------------
@@ -452,17 +454,30 @@ def gated_rollouts(spark, sf):
         "parcel_id", "rollout", R6(F.when(F.col("accepted"), F.col("alignment")).otherwise(F.col("alignment_before"))).alias("alignment"), "accepted")
 
 
-@query("A19", f"""
-    SELECT count(*) AS rollouts, count(*) FILTER (WHERE displacement > 0.5) AS changed, round(avg(displacement), 6) AS mean_displacement,
-           round(avg(alignment_before), 6) AS alignment_before, round(avg(alignment), 6) AS alignment_after, round(avg(reward), 6) AS reward_mean,
-           count(*) FILTER (WHERE NOT valid) AS invalid_after, avg(alignment) >= avg(alignment_before) AS alignment_kept FROM {_ROLLOUTS}""")
+@query("A19 J6 A13", f"""
+    WITH r AS (
+      SELECT parcel_id, avg(displacement) AS displacement, avg(alignment_before) AS alignment_before, avg(alignment) AS alignment_after,
+             avg(reward) AS reward_mean, stddev_pop(reward) AS reward_std FROM (SELECT * REPLACE ((rollout % 100000) AS parcel_id) FROM {_ROLLOUTS}) GROUP BY 1),
+    m AS (
+      SELECT project_id, count(*) FILTER (WHERE displacement > 0) AS changed_parcels, avg(displacement) AS mean_displacement,
+             avg(r.alignment_before) AS alignment_before, avg(alignment_after) AS alignment_after, avg(reward_mean) AS reward_mean, avg(reward_std) AS reward_std
+      FROM r JOIN v_lattice l ON l.id = r.parcel_id GROUP BY 1),
+    b AS (SELECT project_id, count(*) AS n FROM v_overlap_pairs WHERE inter_area > 1.0 GROUP BY 1),
+    a AS (SELECT a.project_id, count(*) AS n FROM v_ref_boxes a JOIN v_ref_boxes b ON a.project_id = b.project_id AND a.id < b.id
+          WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 1.0 GROUP BY 1)
+    SELECT p.project_id, p.n AS parcel_count_before, p.n AS parcel_count_after, 0 AS invalid_before, p.broken AS invalid_after,
+           coalesce(b.n, 0) AS overlap_pairs_before, coalesce(a.n, 0) AS overlap_pairs_after, coalesce(changed_parcels, 0) AS changed_parcels,
+           round(mean_displacement, 6) AS mean_displacement, round(alignment_before, 6) AS alignment_before, round(alignment_after, 6) AS alignment_after,
+           round(reward_mean, 6) AS reward_mean, round(reward_std, 5) AS reward_std,
+           p.broken = 0 AND coalesce(a.n, 0) <= coalesce(b.n, 0) AS topology_gate, coalesce(alignment_after >= alignment_before, false) AS alignment_gate
+    FROM (SELECT project_id, count(*) AS n, 0 AS broken FROM v_lattice GROUP BY 1) p
+    LEFT JOIN b USING (project_id) LEFT JOIN a USING (project_id) LEFT JOIN m USING (project_id)""")
 def refinement_report(spark, sf):
-    r = _rollouts(spark, sf)
-    return r.agg(
-        F.count(F.lit(1)).alias("rollouts"), F.count_if(F.col("displacement") > 0.5).alias("changed"),
-        R6(F.avg("displacement")).alias("mean_displacement"), R6(F.avg("alignment_before")).alias("alignment_before"),
-        R6(F.avg("alignment")).alias("alignment_after"), R6(F.avg("reward")).alias("reward_mean"),
-        F.count_if(~F.col("valid")).alias("invalid_after"), (F.avg("alignment") >= F.avg("alignment_before")).alias("alignment_kept"))
+    per_parcel = rollout_totals(_rollouts(spark, sf).withColumn("parcel_id", F.col("rollout") % 100000))
+    placed = per_parcel.join(D.parcels(spark, sf).select("parcel_id", "project_id"), "parcel_id")
+    rows = refinement_of(D.parcel_layer(spark, sf), D.reference_layer(spark, sf), placed, ["project_id"])
+    rounded = _r(rows, "mean_displacement", "alignment_before", "alignment_after", "reward_mean")
+    return rounded.withColumn("reward_std", F.round("reward_std", 5))
 
 
 @query("F9 F10 F11", f"""
@@ -546,6 +561,17 @@ def promotion_gates(spark, sf):
             ct["boundary_f1"] - bt["boundary_f1"]).alias("final_eligible"))
 
 
+@query("F15 V27", f"""
+    SELECT rollout, parcel_id, parcel_id % 3 <> 0 AND alignment > 0.2 AND alignment - alignment_before > 0 AND valid AND overlap <= overlap_before
+           AND alignment >= alignment_before AS promoted FROM {_ROLLOUTS}""")
+def final_vector_gates(spark, sf):
+    n = lambda c: F.col(c)
+    gates = F.when(n("parcel_id") % 3 != 0, True).when(n("parcel_id") % 2 == 0, False)  # a missing gate report counts as failed
+    return _rollouts(spark, sf).select("rollout", "parcel_id", S.final_vector_promoted(
+        gates, n("alignment") > 0.2, n("alignment") - n("alignment_before"), (~n("valid")).cast("int"),
+        n("overlap_before"), n("overlap"), n("alignment_before"), n("alignment")).alias("promoted"))
+
+
 @query("F15 J26 S4", f"""
     SELECT config_id, round(objective - base, 6) AS objective_delta, objective - base >= 0 AND mean_harmonic_iou - mean_base > 0 AS promoted
     FROM (SELECT *, lag(objective, 1, 0) OVER (ORDER BY config_id) AS base, lag(mean_harmonic_iou, 1, 0) OVER (ORDER BY config_id) AS mean_base FROM ({_TRIALS}))

@@ -81,9 +81,14 @@ def project_status(spark, sf):
     return R.project_status(D.projects(spark, sf), D.parcels(spark, sf), D.evidence(spark, sf))
 
 
-@query("O3 V12", "SELECT project_id, name, name LIKE 'DEMO%' AS demo FROM v_projects")
+@query("O3 V12", """
+    SELECT project_id, name, name LIKE 'DEMO%' AS demo, row_number() OVER (ORDER BY DATE '2024-01-01' + CAST(project_id * 37 % 365 AS INTEGER) DESC, project_id) - 1 AS place
+    FROM v_projects""")
 def project_listing(spark, sf):
-    return D.projects(spark, sf).select("project_id", "name", F.col("name").startswith("DEMO").alias("demo")).orderBy(F.desc("project_id"))
+    """Newest projects first, with their place in the listing."""
+    rows = D.projects(spark, sf).withColumn("_newest", -F.unix_timestamp("created_at")).withColumn("_all", F.lit(0))
+    ranked = skew.chunked_rank(rows, ["_all"], ["_newest", "project_id"], None, "place")
+    return ranked.orderBy("place").select("project_id", "name", F.col("name").startswith("DEMO").alias("demo"), "place")
 
 
 @query("O2 J11", """

@@ -522,14 +522,53 @@ def review_export_contract(spark, sf):
 
 
 @query("V29", """
-    SELECT CAST(queue_id AS VARCHAR) AS id, 'priority_range' AS rule FROM v_queue WHERE priority_score > 1
-    UNION ALL SELECT 'p' || CAST(parcel_id AS VARCHAR), 'confidence_range' FROM v_parcels WHERE confidence NOT BETWEEN 0 AND 1""")
+    SELECT CAST(queue_id AS VARCHAR) AS id, 'priority_range' AS rule FROM v_queue WHERE priority_score * 1.5 > 1
+    UNION ALL SELECT CAST(queue_id AS VARCHAR), 'assigned_without_user' FROM v_queue WHERE status = 'assigned' AND queue_id % 3 = 0
+    UNION ALL SELECT 'p' || CAST(parcel_id AS VARCHAR), 'confidence_range' FROM v_parcels WHERE confidence * 1.2 > 1
+    UNION ALL SELECT 'p' || CAST(parcel_id AS VARCHAR), 'version_positive' FROM v_parcels WHERE version - 1 < 1""")
 def handoff_contracts(spark, sf):
-    q = K.violations(D.survey_queue(spark, sf), [F.col("queue_id").cast("string").alias("id")], K.queue_rules())
-    p = K.violations(D.parcels(spark, sf), [F.concat(F.lit("p"), F.col("parcel_id").cast("string")).alias("id")], K.parcel_response_rules())
+    queue = D.survey_queue(spark, sf).withColumn("priority_score", F.col("priority_score") * 1.5).withColumn(
+        "assigned_to", F.when(F.col("queue_id") % 3 != 0, F.col("assigned_to")))
+    parcels = D.parcels(spark, sf).withColumn("confidence", F.col("confidence") * 1.2).withColumn("version", F.col("version") - 1)
+    q = K.violations(queue, [F.col("queue_id").cast("string").alias("id")], K.queue_rules())
+    p = K.violations(parcels, [F.concat(F.lit("p"), F.col("parcel_id").cast("string")).alias("id")], K.parcel_response_rules())
     return q.unionByName(p)
 
 
+@query("V29 V6", """
+    SELECT parcel_id AS id, UNNEST(list_filter([CASE WHEN parcel_id % 7 = 0 THEN 'geometry_type' END, CASE WHEN parcel_id % 5 = 0 THEN 'id_uuid' END,
+        CASE WHEN status = 'rejected' THEN 'status_enum' END, CASE WHEN confidence * 1.2 > 1 THEN 'confidence_range' END], lambda x: x IS NOT NULL)) AS rule
+    FROM v_parcels""")
+def feature_contract(spark, sf):
+    k = F.col("parcel_id")
+    uuid = F.format_string("00000000-0000-4000-8000-%012d", k)
+    layer = D.parcel_layer(spark, sf).select(F.col("id").alias("parcel_id"), "rings").join(D.parcels(spark, sf), "parcel_id")
+    properties = F.struct(
+        F.when(k % 5 != 0, uuid).otherwise(F.lit("x")).alias("id"), F.format_string("00000000-0000-4000-9000-%012d", F.col("project_id")).alias("project_id"),
+        "source", F.when(F.col("status") == "rejected", "gone").otherwise(F.col("status")).alias("status"),
+        (F.col("confidence") * 1.2).alias("confidence_score"), F.col("health").alias("health_score"), "version")
+    geometry = F.struct(F.when(k % 7 == 0, "LineString").otherwise("Polygon").alias("type"), G.to_coordinates("rings").alias("coordinates"))
+    rows = layer.select(k.alias("id"), F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))).alias("feature"))
+    return K.violations(rows, ["id"], K.feature_rules())
+
+
+@query("V29 F17", """
+    SELECT parcel_id AS id, UNNEST(list_filter([CASE WHEN bool_or(component = 'rl_refinement') THEN 'component_enum' END,
+        CASE WHEN bool_or(score * 1.5 > 1) THEN 'component_score_range' END, CASE WHEN parcel_id % 9 = 0 THEN 'component_text_missing' END,
+        CASE WHEN parcel_id % 4 = 0 THEN 'explanation_missing' END], lambda x: x IS NOT NULL)) AS rule
+    FROM v_newest_evidence GROUP BY parcel_id""")
+def explanation_contract(spark, sf):
+    k = F.col("parcel_id")
+    newest = D.evidence(spark, sf).groupBy("parcel_id", "component").agg(
+        F.max_by("score", F.struct("created_at", "batch", "line", "score")).alias("score"))
+    # one row per parcel and component, so the list of a parcel has at most five entries
+    listed = newest.groupBy("parcel_id").agg(F.collect_list(F.struct(
+        "component", (F.col("score") * 1.5).alias("score"), F.when(k % 9 != 0, "text").alias("explanation"))).alias("components"))
+    rows = listed.select(
+        k.alias("id"), F.format_string("00000000-0000-4000-8000-%012d", k).alias("parcel_id"), F.when(k % 4 != 0, "text").alias("explanation"), "components")
+    return K.violations(rows, ["id"], K.explanation_rules())
+
+
 @query("V29", """
     SELECT id, rule FROM (SELECT id, UNNEST(list_filter([CASE WHEN id % 9 = 0 THEN 'class_enum' END, CASE WHEN id % 8 = 0 THEN 'raw_confidence_range' END,
       CASE WHEN id % 7 = 0 THEN 'source_tile_id_missing' END, CASE WHEN id % 9 <> 0 AND id % 5 = 0 THEN 'parcel_id_missing' END], lambda x: x IS NOT NULL)) AS rule

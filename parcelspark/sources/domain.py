@@ -219,6 +219,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
             p,
             F.concat(F.when(p % 5 == 0, F.lit("DEMO_")).otherwise(F.lit("project_")), p.cast("string")).alias("name"),
             F.when(p % 3 == 0, "review").when(p % 3 == 1, "created").otherwise("completed").alias("status"),
+            F.date_add(F.lit("2024-01-01"), (p * 37 % 365).cast("int")).cast("timestamp").alias("created_at"),
         )
     )
 
