@@ -95,9 +95,11 @@ def record_findings(audited: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def split_leakage(windows: DataFrame, scope: list[str]) -> DataFrame:
-    """``scope, l_id, r_id, l_split, r_split``: windows of different splits whose boxes meet."""
-    pairs = self_candidates(windows, scope, ["split"])
-    return pairs.where(F.col("l_split") != F.col("r_split")).select(*scope, "l_id", "r_id", "l_split", "r_split")
+    """``scope, l_id, r_id, l_split, r_split``: windows of different splits whose boxes meet; with their names, if they have any."""
+    carry = ["split", *(["name"] if "name" in windows.columns else [])]
+    pairs = self_candidates(windows, scope, carry)
+    return pairs.where(F.col("l_split") != F.col("r_split")).select(
+        *scope, "l_id", "r_id", *[f"{side}_{c}" for c in carry for side in ("l", "r")])
 
 
 def outside_target(windows: DataFrame, target: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from ..sources import domain as D
 from ..sources.documents import read_multipart_lines
 from ..sources.sinks import multipart_rows, write_features
 from .registry import query
+from .vectorize import Config, stored_faces
 
 R6 = lambda c: F.round(c, 6)
 SCOPE = ["project_id"]
@@ -313,6 +314,18 @@ def label_crops(spark, sf):
     return crops.select("id", "image", R6(M.parts_area("parts")).alias("crop_area"))
 
 
+@query("R9 G25 G24", """
+    SELECT id, CASE WHEN id % 13 = 0 THEN 4 WHEN id % 5 = 0 THEN 6 ELSE 4 END AS vertices, 0.4::DOUBLE AS threshold, 3 AS close_pixels, true AS placed
+    FROM v_lattice WHERE id % 11 <> 0""")
+def stored_candidates(spark, sf):
+    """Candidates brought to storage axes: crossed boundaries are dropped, the others carry their settings."""
+    layer = computed_once(_with_faults(spark, sf), rings=G.map_points("rings", lambda x, y: G.point(x + 400_000, y + 2_500_000)))
+    rows = stored_faces(layer, 45, Config(threshold=0.4, close_pixels=3))
+    lon, lat = F.col("rings")[0][0]["x"], F.col("rings")[0][0]["y"]
+    return rows.select("id", G.vertex_count("rings").alias("vertices"), "configuration.threshold", "configuration.close_pixels",
+                       (lon.between(85, 87) & lat.between(22, 23)).alias("placed"))
+
+
 @query("G28 G33 S6 S9 V3", """
     SELECT a.id, CASE WHEN a.id % 4 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type, CASE WHEN a.id % 4 = 0 THEN 2 ELSE 1 END AS parts,
            round(a.area + CASE WHEN a.id % 4 = 0 THEN 16 ELSE 0 END, 6) AS area, true AS valid, true AS returns

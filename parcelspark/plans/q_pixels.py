@@ -349,12 +349,15 @@ def _audited(spark, sf):
     return salted_lookup(named, audit, ["raster_id"], "inner", spread=["id"])
 
 
-@query("A17 V22", f"""
+_RECORD_FINDINGS = f"""
     WITH a AS (SELECT r.manifest, r.name, r.source, r.hard_negative_count, x.*, boundary_pixels / greatest(valid_pixels, 1) AS ratio FROM {_RECORDS} r JOIN ({_AUDIT}) x ON x.raster_id = r.id % 6)
     SELECT manifest, name, name || ' has neither rasterized cadastral boundaries nor explicit hard-negative evidence.' AS message FROM a
     WHERE NOT (boundary_pixels > 0 OR (source IS NOT NULL AND hard_negative_count > 0 AND hard_pixels > 0))
     UNION ALL SELECT manifest, name, name || ' boundary mask is not thin (' || printf('%.2f%%', ratio * 100) || ' of valid pixels).' FROM a WHERE ratio > 0.15
-    UNION ALL SELECT manifest, name, name || ' has ' || CAST(conflict_pixels AS VARCHAR) || ' boundary/hard-negative conflict pixels after protection.' FROM a WHERE conflict_pixels > 0""")
+    UNION ALL SELECT manifest, name, name || ' has ' || CAST(conflict_pixels AS VARCHAR) || ' boundary/hard-negative conflict pixels after protection.' FROM a WHERE conflict_pixels > 0"""
+
+
+@query("A17 V22", _RECORD_FINDINGS)
 def record_findings(spark, sf):
     return Y.record_findings(_audited(spark, sf), ["manifest"])
 
@@ -383,6 +386,17 @@ def readiness_report(spark, sf):
     return Y.readiness_report(_manifests(spark, sf), records, _audited(spark, sf), leaks, ["manifest"])
 
 
+@query("A18 J17 V21 V22", f"""
+    SELECT manifest, level, message FROM ({_FINDINGS})
+    UNION ALL SELECT manifest, 'blocker', message FROM ({_RECORD_FINDINGS})
+    UNION ALL SELECT l.manifest, 'blocker', 'Spatial split leakage: ' || l.name || ' (' || l.split || ') intersects ' || r.name || ' (' || r.split || ').'
+    FROM {_RECORDS} l JOIN {_RECORDS} r ON l.manifest = r.manifest AND l.id < r.id AND l.split <> r.split
+      AND l.minx <= r.minx + 35 AND r.minx <= l.minx + 35 AND l.miny <= r.miny + 8 AND r.miny <= l.miny + 8""")
+def readiness_messages(spark, sf):
+    records = _records(spark, sf)
+    return Y.readiness_messages(_manifests(spark, sf), records, _audited(spark, sf), Y.split_leakage(records, ["manifest"]), ["manifest"])
+
+
 @query("A18 A31", f"""
     SELECT manifest, UNNEST(['road', 'building']) AS class, UNNEST([CAST(sum(id % 5) AS BIGINT), CAST(sum(id % 3) AS BIGINT)]) AS features FROM {_RECORDS} GROUP BY manifest""")
 def merged_class_counts(spark, sf):
