@@ -123,15 +123,32 @@ def benchmark_hits(
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where(
         F.col("item").isNotNull() & F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    found = None
-    for block in range(blocks):
-        own = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toLocalIterator()]
+    buckets = 16 * max(1, -(-total // block_bytes))
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(buckets)).cast("int"))
+    found, blocks = None, benchmark_blocks(items, block_bytes)
+    for first, last in blocks:
+        own = [(r.item, r.text) for r in items.where(F.col("bucket").between(first, last)).distinct().toLocalIterator()]
         part = rows.mapInArrow(_scan(own, size), FOUND)
         found = part if found is None else found.unionByName(part)
-    if blocks == 1:
-        return found
-    return _merged(found, blocks)
+    return found if len(blocks) == 1 else _merged(found, len(blocks))
+
+
+def benchmark_blocks(items: DataFrame, block_bytes: int) -> list[tuple[int, int]]:
+    """First and last bucket of each block: neighbouring buckets as long as their measured bytes fit.
+
+    A bucket is a hash of item and text, so the texts of one item fall apart like any others; there are sixteen
+    buckets for each block that the whole benchmark would fill.
+    """
+    sizes = dict(items.groupBy("bucket").agg(F.sum(F.octet_length("text"))).collect())  # one row per bucket
+    out, filled = [], 0
+    for bucket in sorted(sizes):
+        if out and filled + sizes[bucket] <= block_bytes:
+            out[-1] = (out[-1][0], bucket)
+            filled += sizes[bucket]
+        else:
+            out.append((bucket, bucket))
+            filled = sizes[bucket]
+    return out or [(0, 0)]
 
 
 def _merged(found: DataFrame, blocks: int) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored
 
+BLANK_SALTS = 4096  # parts over which pages without a host are spread
+
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (after ``://``, lower-cased) and path; both empty for null or a url without ``://``."""
@@ -62,9 +64,11 @@ def judge_urls(
     of keys that start with its own. Rules and keys are range partitioned and
     sorted together; the sweep carries the stack of the last rule passed, which
     holds every interval still open at a key. A rule open across a partition
-    border is carried over by one small row per partition.
+    border is carried over by one small row per partition, so a key shared by very
+    many hosts (their home pages under one suffix) may be cut anywhere.
 
-    Null urls and urls without ``://`` have an empty host and path; repeated
+    Null urls and urls without ``://`` have an empty host and path: only a rule with
+    an empty host and path fits them, so they are spread over the join and never looked up. Repeated
     pages are judged each; contradicting rules with the same host and path
     count as the alphabetically last verdict (block); rules with a null field are ignored;
     empty tables are fine; other columns of ``pages`` are ignored.
@@ -74,7 +78,8 @@ def judge_urls(
     host, path = url_parts(F.col("url"))
     judged = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select(
         "page_id", host.alias("host"), path.alias("path"))
-    wanted = judged.select("host", "path").distinct()
+    blank = (F.col("host") == "") & (F.col("path") == "")
+    wanted = judged.where(~blank).select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = wanted.select("host", "path", F.explode(F.transform(
         F.sequence(F.lit(1), F.size(labels)),
@@ -86,7 +91,7 @@ def judge_urls(
                         "host", "path", empty.alias("stack")))
     # stored, because range borders come from a sample and must be the same wherever the parts are read
     dealt = stored(
-        line.repartitionByRange(partitions, "key").withColumn("part", F.spark_partition_id()), "url-keys")
+        line.repartitionByRange(partitions, "key", "kind", "host", "path").withColumn("part", F.spark_partition_id()), "url-keys")
     sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition, so the window without keys is bounded by their number
@@ -103,5 +108,10 @@ def judge_urls(
         .agg(F.max(F.struct(F.length("r.rule"), F.col("r.rule"), F.col("r.verdict"))).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
     )
-    return judged.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+    of_blank = rules.where((F.col("host") == "") & (F.col("path") == "")).agg(F.max("verdict")).first()[0]  # one value
+    apart = F.concat(F.lit("/"), F.pmod(F.xxhash64("page_id"), F.lit(BLANK_SALTS)).cast("string"))  # no host holds a slash
+    joined = judged.withColumn("_host", F.when(blank, apart).otherwise(F.col("host"))).join(
+        best.withColumnRenamed("host", "_host"), ["_host", "path"], "left")
+    return joined.select(
+        "page_id", "host", "path", F.when(blank, F.lit(None if of_blank is None else "")).otherwise(F.col("rule")).alias("rule"),
+        F.coalesce(F.when(blank, F.lit(of_blank)).otherwise(F.col("rule_verdict")), F.lit(default)).alias("verdict"))

@@ -370,3 +370,34 @@ def test_url_rules(spark, partitions):
     assert got == want
     assert url_rules.judge_urls(pages.where("false"), rules).collect() == []
     assert all(r.verdict == "allow" for r in url_rules.judge_urls(pages, rules.where("false")).collect())
+
+
+def test_blocks_of_a_benchmark_are_measured(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(7, " ".join(f"w{rng.randrange(10**6)}" for _ in range(10))) for _ in range(2000)] + [(8, "long " * 3000)] * 3
+    items = spark.createDataFrame(rows, "item long, text string").withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(16 * 40)).cast("int"))
+    blocks = decontaminate.benchmark_blocks(items, 4096)
+    sizes = [sum(len(r.text) for r in items.where(F.col("bucket").between(a, b)).distinct().collect()) for a, b in blocks]
+    assert max(s for s in sizes if s < 15_000) <= 4096 and sum(s >= 15_000 for s in sizes) == 1
+    assert items.distinct().count() == 2001 and sum(a <= b for a, b in blocks) == len(blocks)
+    bench = spark.createDataFrame(rows[:400], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"start {rows[i][1]} end") for i in range(60)], "doc_id long, text string")
+    made = decontaminate.contamination(docs, bench, block_bytes=4096).collect()
+    assert len(made) == 60 and all(r.n_hit == 10 and r.n_items == 1 for r in made)
+
+
+def test_home_pages_of_many_sites_and_pages_without_a_host_are_spread(spark, monkeypatch):
+    kept, whole = [], url_rules.stored
+    monkeypatch.setattr(url_rules, "stored", lambda df, name: kept.append(whole(df, name)) or kept[-1])
+    urls = [(i, f"https://site{i}.com/") for i in range(10_000)] + [(20_000 + i, None) for i in range(3000)] + [(30_000, "http:///x"), (30_001, "://")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/", "block"), ("", "", "block"), ("org", "/", "allow")], "host string, path string, verdict string")
+    made = {r.page_id: r for r in url_rules.judge_urls(pages, rules, partitions=8).collect()}
+    assert len(made) == len(urls) and all(r.verdict == "block" and r.rule == ("com/" if i < 20_000 else "") for i, r in made.items() if i != 30_000)
+    assert made[30_000].host == "" and made[30_000].path == "/x"
+    sizes = [r["count"] for r in kept[0].groupBy("part").count().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / 8
+    without = url_rules.judge_urls(pages, rules.where("host <> ''"), partitions=8).where("page_id >= 20000 AND page_id <> 30000").collect()
+    assert all(r.verdict == "allow" and r.rule is None for r in without)
