@@ -13,7 +13,7 @@ from .copies import SHAPE, distinct_shapes, with_shape_keys
 from .grid import cross_candidates
 from .nearest import nearest_polygon
 from .overlay import intersection_area, iou
-from .skew import exact_quantiles, salted_lookup
+from .skew import exact_quantiles, salted_lookup, shuffled
 from .validity import with_validity
 
 
@@ -34,9 +34,9 @@ def _shape_pairs(source: DataFrame, target: DataFrame, scope: list[str]) -> Data
 def _best(layer: DataFrame, shapes: DataFrame, pairs: DataFrame, side: str, scope: list[str]) -> DataFrame:
     """Best value per distinct shape, given to all copies of it; 0 where no pair was found."""
     best = pairs.groupBy(*scope, F.col(side).alias("id")).agg(F.max("iou").alias("best_iou"))
-    scored = shapes.select(*scope, *SHAPE, "id").join(best, [*scope, "id"], "left").select(*scope, *SHAPE, "best_iou")
+    scored = shapes.select(*scope, *SHAPE, "id").join(shuffled(best), [*scope, "id"], "left").select(*scope, *SHAPE, "best_iou")
     members = with_shape_keys(layer.select(*scope, "id", "rings")).select(*scope, *SHAPE, "id")
-    return salted_lookup(members, scored, [*scope, *SHAPE], "left", spread=["id"]).select(
+    return salted_lookup(members, scored, [*scope, *SHAPE], "left", spread=["id"], large=True).select(
         *scope, "id", F.coalesce("best_iou", F.lit(0.0)).alias("best_iou"))
 
 
@@ -59,8 +59,8 @@ def boundary_distances(source: DataFrame, target: DataFrame, scope: list[str], r
     nearest = nearest_polygon(source, target, scope, radius)
     from_source = source.select(*scope, F.col("id").alias("source_id"), F.col("rings").alias("a"))
     from_target = target.select(*scope, F.col("id").alias("target_id"), F.col("rings").alias("b"))
-    pairs = nearest.join(from_source, [*scope, "source_id"])
-    pairs = salted_lookup(pairs, from_target, [*scope, "target_id"], "inner", spread=["source_id"])
+    pairs = nearest.join(shuffled(from_source), [*scope, "source_id"])
+    pairs = salted_lookup(pairs, from_target, [*scope, "target_id"], "inner", spread=["source_id"], large=True)
     return symmetric_boundary_distance(pairs, [*scope, "source_id", "target_id"], "a", "b", count)
 
 

@@ -9,6 +9,7 @@ from ..functions.geometry import with_bbox
 from ..session import cut_lineage
 from .boundary import polygon_distance
 from .grid import cross_candidates, self_candidates
+from .skew import shuffled
 
 
 def _box_gap(left: str = "l", right: str = "r"):
@@ -57,7 +58,7 @@ def nearest_polygon(source: DataFrame, target: DataFrame, scope: list[str],
         best = cut_lineage(best)
         settled = best if settled is None else settled.unionByName(best)
         done = best.select(*scope, F.col("source_id").alias("id"))
-        pending = cut_lineage(pending.join(done, [*scope, "id"], "left_anti"))
+        pending = cut_lineage(pending.join(shuffled(done), [*scope, "id"], "left_anti"))
         if radius > widest or pending.isEmpty():
             return settled
         radius *= growth

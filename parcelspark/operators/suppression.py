@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .copies import SHAPE, distinct_shapes, with_shape_keys
-from .skew import salted_lookup
+from .skew import salted_lookup, shuffled
 from .topology import COUNT_EPS, overlap_areas
 
 
@@ -23,21 +23,21 @@ def greedy_independent(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     rejected: DataFrame | None = None
     while not open_edges.isEmpty():
         blocked = open_edges.select(F.col("worse").alias("better")).distinct().withColumn("_blocked", F.lit(True))
-        seen = salted_lookup(open_edges, blocked, ["better"], "left", spread=["worse"])
+        seen = salted_lookup(open_edges, blocked, ["better"], "left", spread=["worse"], large=True)
         # a free better node is accepted now, so all its worse neighbours are out
         out = cut_lineage(
             seen.where(F.col("_blocked").isNull()).select(F.col("worse").alias("id")).distinct())
         rejected = out if rejected is None else rejected.unionByName(out)
         gone = out.withColumn("_gone", F.lit(True))
-        left = salted_lookup(open_edges, gone.withColumnRenamed("id", "worse"), ["worse"], "left", spread=["better"])
+        left = salted_lookup(open_edges, gone.withColumnRenamed("id", "worse"), ["worse"], "left", spread=["better"], large=True)
         left = left.where(F.col("_gone").isNull()).drop("_gone")
-        left = salted_lookup(left, gone.withColumnRenamed("id", "better"), ["better"], "left", spread=["worse"])
+        left = salted_lookup(left, gone.withColumnRenamed("id", "better"), ["better"], "left", spread=["worse"], large=True)
         left = left.where(F.col("_gone").isNull()).drop("_gone")
         # edges of accepted nodes lead only to rejected ones, so they are gone too
         open_edges = cut_lineage(left)
     if rejected is None:
         return nodes
-    return nodes.join(rejected, "id", "left_anti")
+    return nodes.join(shuffled(rejected), "id", "left_anti")
 
 
 def suppress_overlaps(layer: DataFrame, scope: list[str], eps: float = COUNT_EPS) -> DataFrame:
@@ -61,6 +61,6 @@ def suppress_overlaps(layer: DataFrame, scope: list[str], eps: float = COUNT_EPS
     # copies too small to conflict are all accepted
     members = with_shape_keys(layer.select(*scope, "id", "rings")).select(*scope, *SHAPE, "id")
     extra = salted_lookup(
-        members, tiny.select(*scope, *SHAPE, "area"), [*scope, *SHAPE], "inner", spread=["id"]
+        members, tiny.select(*scope, *SHAPE, "area"), [*scope, *SHAPE], "inner", spread=["id"], large=True
     ).select(*scope, "id", "area")
     return single.unionByName(extra)

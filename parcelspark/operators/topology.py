@@ -11,7 +11,7 @@ from ..session import cut_lineage
 from .copies import SHAPE, distinct_shapes, with_shape_keys
 from .grid import self_candidates
 from .overlay import intersection_area, overlaps
-from .skew import exact_quantiles, salted_lookup
+from .skew import exact_quantiles, salted_lookup, shuffled
 from .validity import with_validity
 
 # Overlap noise limits in square metres and the sliver share.
@@ -40,9 +40,9 @@ def overlap_flags(layer: DataFrame, scope: list[str]) -> DataFrame:
     hit = overlap_areas(shapes, scope).where(
         overlaps(F.col("l_area"), F.col("r_area"), F.col("inter_area")))
     ids = hit.select(*scope, F.explode(F.array("l_id", "r_id")).alias("id")).distinct()
-    flagged = shapes.join(ids, [*scope, "id"], "left_semi").select(*scope, *SHAPE)
+    flagged = shapes.join(shuffled(ids), [*scope, "id"], "left_semi").select(*scope, *SHAPE)
     members = with_shape_keys(layer).select(*scope, *SHAPE, "id")
-    return salted_lookup(members, flagged, [*scope, *SHAPE], "inner", spread=["id"]).select(*scope, "id")
+    return salted_lookup(members, flagged, [*scope, *SHAPE], "inner", spread=["id"], large=True).select(*scope, "id")
 
 
 def topology_violation(layer: DataFrame, scope: list[str]) -> DataFrame:
@@ -50,7 +50,7 @@ def topology_violation(layer: DataFrame, scope: list[str]) -> DataFrame:
     checked = with_validity(layer.select(*scope, "id", "rings"))
     valid = checked.where("is_valid")
     flags = overlap_flags(valid, scope).withColumn("_over", F.lit(True))
-    return checked.join(flags, [*scope, "id"], "left").select(
+    return checked.join(shuffled(flags), [*scope, "id"], "left").select(
         *scope, "id",
         (~F.col("is_valid") | F.coalesce(F.col("_over"), F.lit(False))).alias("topology_violation"))
 

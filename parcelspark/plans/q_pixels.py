@@ -13,7 +13,7 @@ from ..operators import contracts as K
 from ..operators.compare import report_deltas
 from ..operators.refinement import refinement_report as refinement_of
 from ..operators.refinement import rollout_totals
-from ..operators.skew import salted_lookup
+from ..operators.skew import salted_lookup, shuffled
 from ..session import cut_lineage
 from ..sources import domain as D
 from .registry import query
@@ -488,7 +488,7 @@ def gated_rollouts(spark, sf):
     LEFT JOIN b USING (project_id) LEFT JOIN a USING (project_id) LEFT JOIN m USING (project_id)""")
 def refinement_report(spark, sf):
     per_parcel = rollout_totals(_rollouts(spark, sf).withColumn("parcel_id", F.col("rollout") % 100000))
-    placed = per_parcel.join(D.parcels(spark, sf).select("parcel_id", "project_id"), "parcel_id")
+    placed = per_parcel.join(shuffled(D.parcels(spark, sf).select("parcel_id", "project_id")), "parcel_id")
     rows = refinement_of(D.parcel_layer(spark, sf), D.reference_layer(spark, sf), placed, ["project_id"])
     rounded = _r(rows, "mean_displacement", "alignment_before", "alignment_after", "reward_mean")
     return rounded.withColumn("reward_std", F.round("reward_std", 5))
