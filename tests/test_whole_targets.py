@@ -20,3 +20,9 @@ def test_every_17th_parcel_is_a_target(spark, folder, monkeypatch):
     rows = CATALOG["windows_outside_target"].run(spark, folder).collect()
     assert seen == [set(range(0, 240, 17))]
     assert {r.id for r in rows}.isdisjoint(range(0, 240, 17))
+
+
+def test_parcels_of_all_lattice_rows_have_an_image(spark, folder):
+    rows = {r.id: r.image_index for r in CATALOG["first_matching_image"].run(spark, folder).collect()}
+    # the upper rows too, and images are shared by projects
+    assert {i % 60 for i in rows} >= set(range(45)) and rows[0] == rows[60] == 0 and max(rows.values()) < 60
