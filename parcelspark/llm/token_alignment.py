@@ -28,6 +28,10 @@ BROADCAST_PAIRS = 500_000
 # its usual word pattern, and a sentencepiece model without pieces that reach across a space, start a new token there.
 SAFE_CUT = re.compile(r"(?<=[!-~]) (?=[!-~À-ÿ])")
 
+# Words between which a space is such a cut.
+SAFE_ENDS = re.compile(r"[!-~À-ÿ](?s:.*)(?<=[!-~])\Z")
+RUN_WORDS = 256  # words encoded as one text
+
 
 def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     """Place in ``long`` of the first value not less than each of ``short`` (both ascending).
@@ -130,24 +134,56 @@ class Vocabularies:
         missing = [w for w in words if w not in self.known_a]
         if not missing:
             return []
-        sides = []
-        for found, entries in (
-            ([e.ids for e in self.a.encode_batch_fast([" " + w for w in missing], add_special_tokens=False)], self.a_bytes),
-            (self.b.encode(missing, num_threads=1), self.b_bytes),
-        ):
-            flat = np.fromiter(chain.from_iterable(found), ID)
-            sides.append((flat, np.concatenate([[0], np.cumsum([len(f) for f in found])]).tolist(), entries))
-        want = "".join([" " + w for w in missing]).encode()
-        right = all(self.spelled(flat, entries) == want for flat, _, entries in sides)
+        safe = [w for w in missing if SAFE_ENDS.match(w)] if self.cuts else []
+        rest = [w for w in missing if not SAFE_ENDS.match(w)] if self.cuts else missing
+        for some, in_runs in ((safe, self._in_runs), (rest, None)):
+            if some:
+                self._remember(some, *((in_runs and in_runs(some)) or self._one_by_one(some)))
+        return [w for w in missing if len(w) > KEPT_BYTES]
+
+    def _remember(self, words: list[str], sides: list, right: bool) -> None:
         for known, (flat, at, _) in zip((self.known_a, self.known_b), sides, strict=True):
             ids = flat.tobytes()
             places = [ID.itemsize * k for k in at]
-            known.update(zip(missing, [ids[p:q] for p, q in zip(places[:-1], places[1:], strict=True)], strict=True))
+            known.update(zip(words, [ids[p:q] for p, q in zip(places[:-1], places[1:], strict=True)], strict=True))
         if not right:
             self.misspelled.update(
-                w for k, w in enumerate(missing)
+                w for k, w in enumerate(words)
                 if any(self.spelled(flat[at[k]:at[k + 1]], entries) != b" " + w.encode() for flat, at, entries in sides))
-        return [w for w in missing if len(w) > KEPT_BYTES]
+
+    def _one_by_one(self, words: list[str]):
+        """(ids, places of the words in them, entries) of each side, and whether the ids spell the words."""
+        sides = []
+        for found, entries in (
+            ([e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)], self.a_bytes),
+            (self.b.encode(words, num_threads=1), self.b_bytes),
+        ):
+            flat = np.fromiter(chain.from_iterable(found), ID)
+            sides.append((flat, np.concatenate([[0], np.cumsum([len(f) for f in found])]).tolist(), entries))
+        want = "".join([" " + w for w in words]).encode()
+        return sides, all(self.spelled(flat, entries) == want for flat, _, entries in sides)
+
+    def _in_runs(self, words: list[str]):
+        """The same from runs of words with a safe cut between, which both sides encode at less cost.
+
+        None if the tokens do not spell the words or do not end with them.
+        """
+        runs = [" ".join(words[k:k + RUN_WORDS]) for k in range(0, len(words), RUN_WORDS)]
+        want = "".join([" " + r for r in runs]).encode()
+        space = np.frombuffer("".join([" " + w.replace(" ", "_") for w in words]).encode(), np.uint8) == 32
+        ends = np.r_[np.flatnonzero(space)[1:], len(space)]
+        sides = []
+        for found, sizes, entries in (
+            ([e.ids for e in self.a.encode_batch_fast([" " + r for r in runs], add_special_tokens=False)], self.a_size, self.a_bytes),
+            (self.b.encode(runs, num_threads=1), self.b_size, self.b_bytes),
+        ):
+            flat = np.fromiter(chain.from_iterable(found), ID)
+            token_ends = np.cumsum(sizes[flat])
+            at = np.searchsorted(token_ends, ends)
+            if len(token_ends) == 0 or at[-1] == len(flat) or (token_ends[at] != ends).any() or self.spelled(flat, entries) != want:
+                return None
+            sides.append((flat, [0, *(at + 1).tolist()], entries))
+        return sides, True
 
     def encode(self, rows: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides of each text; none where the bytes of the tokens are not those of the text."""

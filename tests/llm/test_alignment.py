@@ -141,3 +141,21 @@ def test_words_give_the_tokens_of_whole_texts(tools):
         groups = brute_groups(tools, text)
         assert x.tolist() == [i for g, _ in groups for i in g] and y.tolist() == [i for _, g in groups for i in g], text
     assert len(vocab.words(texts[-1])) > 50
+
+
+def test_words_encoded_in_runs_have_the_ids_of_words_alone():
+    import public_tokenizers
+
+    from parcelspark.llm import token_alignment as t
+
+    vocab = t.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    words = ["plain", "a", "Ünder!", "<|endoftext|>", "x1.5e-3", "don't", "tab\tinside", "two  spaces", "naïve.", "end▁x", "12345678901234567890"] * 40
+    words += [f"w{k}" for k in range(700)]
+    safe = [w for w in words if t.SAFE_ENDS.match(w)]
+    run, alone = vocab._in_runs([w for w in safe if "▁" not in w and "  " not in w and "\t" not in w]), vocab._one_by_one(
+        [w for w in safe if "▁" not in w and "  " not in w and "\t" not in w])
+    for (ids, at, _), (ids2, at2, _) in zip(run[0], alone[0], strict=True):
+        assert ids.tolist() == ids2.tolist() and list(at) == list(at2)
+    # words that the tokens do not spell are left to the way one by one
+    assert vocab._in_runs(["good", "end▁x"]) is None
+    assert not t.SAFE_ENDS.match(" x") and not t.SAFE_ENDS.match("line\n") and not t.SAFE_ENDS.match("łaska")
