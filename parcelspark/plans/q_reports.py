@@ -78,7 +78,7 @@ def survey_workflow_distribution(spark, sf):
     LEFT JOIN (SELECT parcel_id, bool_or(component = 'rl_refinement') AS refined FROM v_evidence GROUP BY 1) e ON e.parcel_id = c.parcel_id
     GROUP BY 1, 2, 3""")
 def project_status(spark, sf):
-    return R.project_status(D.projects(spark, sf), D.parcels(spark, sf), D.evidence(spark, sf))
+    return R.project_status(D.projects(spark, sf).drop("created_at"), D.parcels(spark, sf), D.evidence(spark, sf))
 
 
 @query("O3 V12", """
