@@ -83,14 +83,14 @@ def slivers(valid: DataFrame, scope: list[str], ratio: float = SLIVER_RATIO) ->
     """``scope, id, area, median_area`` of valid parcels below ``ratio`` of the median valid area."""
     sized = computed_once(valid.select(*scope, "id", "rings"), area=polygon_area("rings")).drop("rings")
     medians = exact_quantiles(sized, scope, "area", {"median_area": 0.5})
-    joined = salted_lookup(sized, medians, scope, "inner", spread=["id"])
+    joined = salted_lookup(sized, medians, scope, "inner", spread=["id"], large=True)
     return joined.where(F.col("area") < F.col("median_area") * ratio)
 
 
 def topology_violations(layer: DataFrame, scope: list[str], eps: float = VALIDATION_EPS,
                         ratio: float = SLIVER_RATIO) -> DataFrame:
     """``scope, id, type, detail`` rows of invalid, sliver and overlap findings."""
-    checked = with_validity(layer.select(*scope, "id", "rings"))
+    checked = cut_lineage(with_validity(layer.select(*scope, "id", "rings")))
     valid = checked.where("is_valid")
     invalid = checked.where(~F.col("is_valid")).select(
         *scope, "id", F.lit("invalid_geometry").alias("type"), F.col("invalid_reason").alias("detail"))

@@ -7,6 +7,7 @@ from parcelspark.operators import grid
 from parcelspark.operators import topology as T
 from parcelspark.operators.compare import best_iou
 from parcelspark.operators.readiness import split_leakage
+from parcelspark.session import cut_lineage
 from parcelspark.sources import domain as D
 
 SCOPE = ["project_id"]
@@ -47,3 +48,8 @@ def test_few_objects_are_broadcast_and_give_the_same_pairs(layers, monkeypatch):
         monkeypatch.setattr(grid, "BROADCAST_OBJECTS", limit)
         got.append(sorted((r.l_id, r.r_id) for r in grid.cross_candidates(*boxed, SCOPE, [], []).collect()))
     assert got[0] and got[0] == got[1]
+
+
+def test_parcels_are_not_broadcast_to_meet_their_median(layers):
+    text = plan(T.slivers(cut_lineage(layers[0]), SCOPE))
+    assert "SortMergeJoin" in text and "BuildLeft" not in text
