@@ -56,3 +56,15 @@ def test_middles_rule_rows_out_and_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(crowded, "_possible", lambda fitting, size, unit: fitting)
     assert covered(crowded.crowded_intervals(spark.createDataFrame(rows, ROWS), SIZE)) == got
     assert asked < frames["asked-windows"].count()
+
+
+def test_blocks_between_shared_windows_are_not_asked(spark, monkeypatch):
+    rows = near_copies(150)
+    frames, store = {}, crowded.stored
+    monkeypatch.setattr(crowded, "stored", lambda df, name: frames.setdefault(name, store(df, name)))
+    monkeypatch.setattr(crowded, "BLOCK", 4)
+    got = covered(crowded.crowded_intervals(spark.createDataFrame(rows, ROWS), SIZE))
+    assert got == brute(rows)
+    asked = sum(f.count() for name, f in frames.items() if name.startswith("asked-windows"))
+    possible = frames["possible-contexts"].selectExpr("sum(size(asked))").first()[0]
+    assert 0 < asked < possible
