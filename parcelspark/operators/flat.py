@@ -32,6 +32,12 @@ class RingRows:
             return None
         return [self.xy[self.ring_at[r]:self.ring_at[r + 1]] for r in range(self.row_at[i], self.row_at[i + 1])]
 
+    def with_points(self, xy: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The same rows and rings with other points, ``sizes`` of them per ring."""
+        points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], fields=list(_POINT))
+        rows = pa.array(self.row_at.astype(np.int32), mask=np.append(~self.valid, False))
+        return pa.ListArray.from_arrays(rows, pa.ListArray.from_arrays(_offsets(sizes), points))
+
 
 def _lengths(column: pa.Array) -> np.ndarray:
     n = np.diff(column.offsets.to_numpy())

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .flat import RingRows
+
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RING = T.ArrayType(POINT)
 RINGS = T.ArrayType(RING)
@@ -22,6 +24,9 @@ OUTER_HANDLES = (10, 5)
 HOLE_HANDLES = 4
 
 
+POINTS_AT_ONCE = 1 << 18  # positions of whole rings that are simplified together
+
+
 def _points(ring) -> np.ndarray:
     if ring is None or len(ring) == 0:
         return np.empty((0, 2))
@@ -58,33 +63,37 @@ def hull_vertex_count(rings: pa.Array) -> pa.Array:
     return pa.array([_hull_size(_points(r[0])) for r in rings.to_pylist()], pa.int32())
 
 
-def _keep_far(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker mask with an explicit stack; ends are kept."""
-    keep = np.zeros(len(points), dtype=bool)
-    keep[[0, -1]] = True
-    stack = [(0, len(points) - 1)]
-    while stack:
-        first, last = stack.pop()
-        if last - first < 2:
-            continue
-        a, b = points[first], points[last]
-        inner = points[first + 1:last]
-        d = b - a
-        length = float(d @ d)
-        t = np.clip(((inner - a) @ d) / length, 0, 1) if length else np.zeros(len(inner))
-        gaps = np.hypot(*(inner - (a + t[:, None] * d)).T)
-        far = int(np.argmax(gaps))
-        if gaps[far] > tolerance:
-            middle = first + 1 + far
-            keep[middle] = True
-            stack += [(first, middle), (middle, last)]
-    return keep
-
-
-def _simplified(ring, tolerance: float) -> list[dict]:
-    points = _points(ring)
-    kept = points[_keep_far(points, tolerance)]
-    return _ring(kept if len(kept) >= 4 else points)
+def _keep_far(xy: np.ndarray, at: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker mask over the points of many lines (line k: at[k] .. at[k+1]); ends are kept.
+
+    All spans of one depth, of all lines, are measured together; of equal gaps the first point splits a span.
+    """
+    keep = np.zeros(len(xy), dtype=bool)
+    lines = np.flatnonzero(np.diff(at) > 0)
+    first, last = at[lines], at[lines + 1] - 1
+    keep[first] = keep[last] = True
+    x, y = xy[:, 0], xy[:, 1]
+    while True:
+        wide = last - first >= 2
+        first, last = first[wide], last[wide]
+        if not len(first):
+            return keep
+        n = last - first - 1
+        offset = np.cumsum(n) - n
+        span = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(span)) + np.repeat(first + 1 - offset, n)
+        dx, dy = x[last] - x[first], y[last] - y[first]
+        length = dx * dx + dy * dy
+        ax, ay, dx, dy, length = x[first][span], y[first][span], dx[span], dy[span], length[span]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(length != 0, np.clip(((x[inner] - ax) * dx + (y[inner] - ay) * dy) / length, 0, 1), 0.0)
+        gaps = np.hypot(x[inner] - (ax + t * dx), y[inner] - (ay + t * dy))
+        most = np.maximum.reduceat(gaps, offset)
+        top = np.flatnonzero((gaps == most[span]) & (gaps > tolerance))
+        split, at_top = np.unique(span[top], return_index=True)
+        middle = inner[top[at_top]]
+        keep[middle] = True
+        first, last = np.concatenate([first[split], middle]), np.concatenate([middle, last[split]])
 
 
 def simplify_rings(tolerance: float):
@@ -92,7 +101,19 @@ def simplify_rings(tolerance: float):
 
     @F.arrow_udf(RINGS)
     def simplify(rings: pa.Array) -> pa.Array:
-        return pa.array([[_simplified(g, tolerance) for g in r] for r in rings.to_pylist()], _ARROW_RINGS)
+        rows = RingRows(rings)
+        at = rows.ring_at
+        keep = np.zeros(len(rows.xy), bool)
+        i = 0
+        while i < len(at) - 1:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + POINTS_AT_ONCE, "right")) - 1)
+            keep[at[i]:at[j]] = _keep_far(rows.xy[at[i]:at[j]], at[i:j + 1] - at[i], tolerance)
+            i = j
+        kept = np.add.reduceat(np.append(keep, False), at[:-1], dtype=np.int64) if len(at) > 1 else np.empty(0, np.int64)
+        small = (kept < 4) | (np.diff(at) == 0)
+        keep |= np.repeat(small, np.diff(at))
+        sizes = np.where(small, np.diff(at), kept)
+        return rows.with_points(rows.xy[keep], sizes)
 
     return simplify
 
