@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,21 +137,35 @@ def open_faces(pixels: DataFrame, value: str, threshold: float, close_pixels: in
 _SHIFT = 1 << 31
 
 
-def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """4-connected labels inside one tile; a label is the first pixel of its component."""
-    rows, cols = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
-    order = np.lexsort((cols, rows))
-    rows, cols = rows[order], cols[order]
-    r0, c0 = rows.min(), cols.min()
-    index = np.full((rows.max() - r0 + 1, cols.max() - c0 + 1), -1, dtype=np.int64)
-    index[rows - r0, cols - c0] = np.arange(len(rows))
+LABELLED_ROWS = 1 << 18  # pixels of whole tiles that are labelled together
+
+
+def _lines(group_starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A number per pixel, for pixels sorted by group, row and column: that of its row, one more for the next row of the group, gaps elsewhere."""
+    n = len(rows)
+    step = np.zeros(n, np.int64)
+    changed = np.r_[True, rows[1:] != rows[:-1]] | group_starts
+    next_row = np.r_[False, rows[1:] == rows[:-1] + 1] & ~group_starts
+    step[changed] = np.where(next_row[changed], 1, 2)
+    return np.cumsum(step)
+
+
+def _labels(group_starts: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """4-connected labels inside each group of pixels (sorted by group, row, column); a label is the first pixel of its component.
+
+    Of repeated pixels the last one joins its neighbours, the others stand alone.
+    """
+    codes = (_lines(group_starts, rows) << 32) + (cols - cols.min())
+    last = np.flatnonzero(np.r_[codes[1:] != codes[:-1], True])
+    codes = codes[last]
     a, b = [], []
-    for first, second in ((index[:, :-1], index[:, 1:]), (index[:-1], index[1:])):
-        both = (first >= 0) & (second >= 0)
-        a.append(first[both])
-        b.append(second[both])
+    for step in (1, 1 << 32):
+        at = np.minimum(np.searchsorted(codes, codes + step), len(codes) - 1)
+        met = np.flatnonzero(codes[at] == codes + step)
+        a.append(met)
+        b.append(at[met])
     a, b = np.concatenate(a), np.concatenate(b)
-    label = np.arange(len(rows))
+    label = np.arange(len(codes))
     while True:
         best = label.copy()
         np.minimum.at(best, a, label[b])
@@ -163,9 +176,50 @@ def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         if np.array_equal(best, label):
             break
         label = best
-    out = pdf.iloc[order].copy()
-    out["local"] = rows[label] * _SHIFT + cols[label]
-    return out
+    own = np.arange(len(rows))
+    own[last] = last[label]
+    return rows[own] * _SHIFT + cols[own]
+
+
+def _label_tiles(n_keys: int):
+    """Stream over pixels sorted by ``n_keys`` columns, row and column: adds ``local``, whole tiles at a time."""
+
+    def starts(table: pa.Table) -> np.ndarray:
+        changed = np.zeros(table.num_rows, bool)
+        changed[:1] = True
+        for i in range(n_keys):
+            codes = table.column(i).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            changed[1:] |= codes[1:] != codes[:-1]
+        return changed
+
+    def labelled(table: pa.Table, group_starts: np.ndarray):
+        # a pixel without a row is in a tile of such pixels alone
+        rows, cols = (table.column(c).combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy() for c in ("row", "col"))
+        return table.append_column("local", pa.array(_labels(group_starts, rows, cols))).to_batches()
+
+    def kernel(batches):
+        waiting: list[pa.RecordBatch] = []
+        held, wanted = 0, LABELLED_ROWS
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            held += batch.num_rows
+            if held < wanted:
+                continue
+            table = pa.Table.from_batches(waiting)
+            group_starts = starts(table)
+            cut = int(np.flatnonzero(group_starts)[-1])
+            if cut:
+                yield from labelled(table.slice(0, cut), group_starts[:cut])
+            waiting = table.slice(cut).to_batches()
+            held -= cut
+            wanted = max(LABELLED_ROWS, 2 * held)
+        if waiting:
+            table = pa.Table.from_batches(waiting)
+            yield from labelled(table, starts(table))
+
+    return kernel
 
 
 def connected_components(faces: DataFrame, keys: list[str] | None = None, tile: int = TILE) -> DataFrame:
@@ -178,9 +232,11 @@ def connected_components(faces: DataFrame, keys: list[str] | None = None, tile:
     keys = keys or ["raster_id"]
     tiled = faces.select(*keys, "row", "col",
                          F.floor(F.col("row") / tile).alias("tile_row"), F.floor(F.col("col") / tile).alias("tile_col"))
+    place = [*keys, "tile_row", "tile_col"]
+    tiled = tiled.select(*place, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in tiled.schema.fields] + ["local bigint"])
-    labelled = tiled.groupBy(*keys, "tile_row", "tile_col").applyInPandas(_label_tile, schema)
+    labelled = tiled.repartition(*place).sortWithinPartitions(*place, "row", "col").mapInArrow(_label_tiles(len(place)), schema)
     labelled = cut_lineage(labelled.select(*keys, "row", "col", "local"))
 
     def border(axis: str, other: str) -> DataFrame:
@@ -229,21 +285,33 @@ def face_sizes(components: DataFrame, keys: list[str] | None = None) -> DataFram
     )
 
 
-def _trace(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exterior ring of one component as (row, col) of its corners, closed.
+TRACED_PIXELS = 1 << 18  # pixels of whole components whose rings are put in order together
+
+
+def _traces(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exterior rings of components (component k: the pixels at[k] .. at[k+1]) as (row, col) of their corners, closed, and the points of each ring.
 
     Every pixel side without a neighbour is a directed edge with the component on its right. Its successor
     follows from the two pixels ahead; where four edges meet, the ring stays at the pixel it came from. The
     edges are put in order by pointer jumping from the top side of the first pixel, so the memory depends on the
     number of pixels alone, not on their box. Straight steps are merged.
     """
-    codes = np.sort(codes)
+    parts = len(at) - 1
+    part = np.repeat(np.arange(parts), np.diff(at))
+    order = np.lexsort((codes, part))
+    codes = codes[order]
     n = len(codes)
+    if not n:
+        return np.empty(0), np.empty(0), np.zeros(parts, np.int64)
+    begins = np.zeros(n, bool)
+    begins[at[:-1][np.diff(at) > 0]] = True
+    pixel_row, pixel_col = codes // _SHIFT, codes % _SHIFT
+    places = (_lines(begins, pixel_row) << 32) + pixel_col + 1
     # neighbours by heading: east, south, west, north; columns may not wrap into the next row
     near = np.full((4, n), -1)
-    for h, step in enumerate((1, _SHIFT, -1, -_SHIFT)):
-        at = np.minimum(np.searchsorted(codes, codes + step), n - 1)
-        near[h] = np.where(codes[at] == codes + step, at, -1)
+    for h, step in enumerate((1, 1 << 32, -1, -(1 << 32))):
+        to = np.minimum(np.searchsorted(places, places + step), n - 1)
+        near[h] = np.where(places[to] == places + step, to, -1)
     pixel, heading = np.divmod(np.flatnonzero((near[[3, 0, 1, 2]] < 0).T.reshape(-1)), 4)
     number = np.full(4 * n, -1)
     number[4 * pixel + heading] = np.arange(len(pixel))
@@ -252,8 +320,8 @@ def _trace(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     to_pixel = np.where(ahead < 0, pixel, np.where(ahead_left >= 0, ahead_left, ahead))
     to_heading = np.where(ahead < 0, heading + 1, np.where(ahead_left >= 0, heading + 3, heading)) % 4
     follows = number[4 * to_pixel + to_heading]
-    # steps from each edge until the first edge comes again; edges of other rings never reach it
-    first = number[0]
+    # steps from each edge until the first edge of its component comes again; edges of other rings never reach it
+    first = number[4 * at[part[pixel]]]
     steps, jump = np.ones(len(pixel), np.int64), follows.copy()
     ended = jump == first
     for _ in range(len(pixel).bit_length()):
@@ -265,12 +333,28 @@ def _trace(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ended[moving] = ended[to]
         jump[moving] = jump[to]
     ring = np.flatnonzero(ended)
-    ring = ring[np.argsort(-steps[ring])]
-    turned = heading[ring] != np.roll(heading[ring], 1)
-    pixel, heading = pixel[ring[turned]], heading[ring[turned]]
-    rows = codes[pixel] // _SHIFT + ((heading == 2) | (heading == 3))
-    cols = codes[pixel] % _SHIFT + ((heading == 1) | (heading == 2))
-    return np.append(rows, rows[0]).astype(float), np.append(cols, cols[0]).astype(float)
+    ring = ring[np.lexsort((-steps[ring], part[pixel[ring]]))]
+    of = part[pixel[ring]]
+    edges = np.bincount(of, minlength=parts)
+    ring_at = np.cumsum(edges) - edges
+    before = np.arange(len(ring)) - 1
+    before[ring_at[edges > 0]] = (ring_at + edges - 1)[edges > 0]
+    turned = heading[ring] != heading[ring[before]]
+    pixel, heading, of = pixel[ring[turned]], heading[ring[turned]], of[turned]
+    rows = pixel_row[pixel] + ((heading == 2) | (heading == 3))
+    cols = pixel_col[pixel] + ((heading == 1) | (heading == 2))
+    # the first corner closes each ring
+    corners = np.bincount(of, minlength=parts)
+    some = corners > 0
+    corner_at = np.cumsum(corners) - corners
+    ends = (corner_at + corners)[some]
+    rows, cols = (np.insert(v, ends, v[corner_at[some]]).astype(float) for v in (rows, cols))
+    return rows, cols, corners + some
+
+
+def _trace(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exterior ring of one component as (row, col) of its corners, closed."""
+    return _traces(codes, np.array([0, len(codes)]))[:2]
 
 
 _CORNERS = T.ArrayType(T.StructType([T.StructField("row", T.DoubleType()), T.StructField("col", T.DoubleType())]))
@@ -278,10 +362,17 @@ _CORNERS = T.ArrayType(T.StructType([T.StructField("row", T.DoubleType()), T.Str
 
 @F.arrow_udf(_CORNERS)
 def _corners(codes: pa.Array) -> pa.Array:
-    rings = [_trace(c.values.to_numpy()) for c in codes]
-    rows, cols = (np.concatenate([r[k] for r in rings]) if rings else np.empty(0) for k in (0, 1))
-    at = np.concatenate([[0], np.cumsum([len(r[0]) for r in rings])]).astype(np.int32)
-    return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(rows), pa.array(cols)], ["row", "col"]))
+    flat, at = codes.flatten().to_numpy(), codes.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    parts = []
+    i = 0
+    while i < len(codes):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + TRACED_PIXELS, "right")) - 1)
+        parts.append(_traces(flat[at[i]:at[j]], at[i:j + 1] - at[i]))
+        i = j
+    rows, cols, sizes = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(3))
+    ring_at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ring_at, pa.StructArray.from_arrays([pa.array(rows), pa.array(cols)], ["row", "col"]))
 
 
 def face_rings(components: DataFrame, keys: list[str] | None = None) -> DataFrame:
