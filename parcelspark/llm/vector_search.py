@@ -14,6 +14,7 @@ CANDIDATES = 2048  # vectors in a candidate block
 QUERIES = 4096  # vectors in a query block
 TILE = 64  # queries whose dense score rows are filled together
 BLOCK_VALUES = 1 << 20  # components in a block, if vectors are long
+HELD = 16  # query blocks that a task holds
 COLUMNS = ("ids", "rows", "asks", "sizes", "values")
 BLOCK = "block long, n int, asked int, ids binary, rows binary, asks binary, sizes binary, values binary"
 HITS = "query long, query_id long, vec_ids array<long>, rows array<long>, scores array<long>"
@@ -159,15 +160,19 @@ class TopK:
     """Running top-k of a query block over candidate blocks."""
 
     def __init__(self, queries: Block, k: int):
-        self.queries, self.k = queries, k
+        self.k, self.ids_asked, self.rows_asked = k, queries.ids, queries.rows
         self.terms = queries.postings()
         self.highest = float(np.abs(queries.values).max(initial=0))
         self.longest = int(queries.sizes.max(initial=0))
-        self.scores = np.full((len(queries), 0), NONE, np.int64)
-        self.ids = self.rows = np.zeros((len(queries), 0), np.int64)
+        self.scores = np.full((len(queries), k), NONE, np.int64)
+        self.ids, self.rows = np.zeros((2, len(queries), k), np.int64)
 
     def meet(self, block: Block) -> None:
-        """Score all vectors of a block: each query term scatters its weighted postings into the dense scores."""
+        """Score all vectors of a block: each query term scatters its weighted postings into the dense scores.
+
+        Terms that nearly all queries and vectors hold are scattered together, as one product of matrices. Sums stay
+        below the integers that their kind of number holds, so their order does not matter.
+        """
         order = np.lexsort((block.rows, block.ids))
         place = np.empty(len(block), np.int64)
         place[order] = np.arange(len(block))
@@ -176,34 +181,61 @@ class TopK:
         kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else object
         as_kind = (lambda w: np.array([int(x) for x in w], object)) if kind is object else (lambda w: w.astype(kind))
         terms = {t: (place[v], as_kind(w)) for t, (v, w) in block.postings().items() if t in self.terms}
+        n, asking = len(block), len(self.rows_asked)
+        full = [t for t, (to, _) in terms.items() if kind is not object and 2 * len(self.terms[t][0]) * len(to) > asking * n]
+        ask, post = np.zeros((asking, len(full)), kind), np.zeros((len(full), n), kind)
+        for at, t in enumerate(full):
+            (q, w), (to, weights) = self.terms[t], terms.pop(t)
+            ask[q, at], post[at, to] = w, weights
         asked = {t: (self.terms[t][0], as_kind(self.terms[t][1])) for t in terms}
         own_row = np.argsort(rows)
-        at = np.minimum(np.searchsorted(rows, self.queries.rows, sorter=own_row), len(rows) - 1)
+        at = np.minimum(np.searchsorted(rows, self.rows_asked, sorter=own_row), len(rows) - 1)
         own = own_row[at]
-        is_own = rows[own] == self.queries.rows
-        n, made = len(block), []
-        for start in range(0, len(self.queries), TILE):
-            until = min(len(self.queries), start + TILE)
-            scores = np.zeros((until - start, n), kind)
-            product = np.empty_like(scores)
+        is_own = rows[own] == self.rows_asked
+        made = []
+        for start in range(0, asking, TILE):
+            until = min(asking, start + TILE)
+            scores = ask[start:until] @ post if full else np.zeros((until - start, n), kind)
             for t, (to, weights) in terms.items():
                 q, w = asked[t]
                 a, b = np.searchsorted(q, [start, until])
-                if a == b:
-                    continue
-                if kind is not object and 2 * (b - a) * len(to) > scores.size:  # nearly all places are hit
-                    ask, post = np.zeros(until - start, kind), np.zeros(n, kind)
-                    ask[q[a:b] - start], post[to] = w[a:b], weights
-                    scores += np.multiply(ask[:, None], post, out=product)
-                else:
+                if a < b:
                     scores[np.ix_(q[a:b] - start, to)] += w[a:b, None] * weights
             if kind is object:  # a score beyond a long is held at its end
                 scores = np.array([[max(min(x, -NONE), NONE + 1) for x in r] for r in scores], np.int64).reshape(scores.shape)
             hit = np.flatnonzero(is_own[start:until])
-            made.append(self.highest_of(scores, bound, hit, own[start:until][hit], ids, rows))
-        new = [np.concatenate(x) for x in zip(*made, strict=True)]
-        merged = [np.concatenate(x, axis=1) for x in zip((self.scores, self.ids, self.rows), new, strict=True)]
-        self.scores, self.ids, self.rows = best_of(*merged, self.k) if merged[0].shape[1] > self.k else merged
+            made.append(self.entering(scores, bound, start, hit, own[start:until][hit], ids, rows))
+        self.take(*(np.concatenate(x) for x in zip(*made, strict=True)))
+
+    def entering(self, scores, bound, start, hit, own, ids, rows):
+        """(query, score, id, row) of the places of a tile that may be among the k best so far; a query's own place counts as no candidate."""
+        until = start + len(scores)
+        least = self.scores[start:until, -1]
+        there = scores >= (least if scores.dtype == np.int64 else least.astype(scores.dtype))[:, None]
+        there[hit, own] = False
+        if 4 * self.k * len(scores) < np.count_nonzero(there):
+            q = np.repeat(np.arange(start, until), min(self.k, scores.shape[1]))
+            score, i, r = (x.reshape(-1) for x in self.highest_of(scores, bound, hit, own, ids, rows))
+            some = score != NONE
+            return q[some], score[some], i[some], r[some]
+        q, at = np.nonzero(there)
+        score, last = scores[q, at].astype(np.int64), least[q]
+        some = (score > last) | (ids[at] <= self.ids[start:until, -1][q])
+        return q[some] + start, score[some], ids[at[some]], rows[at[some]]
+
+    def take(self, q, score, ids, rows) -> None:
+        """Merge new candidates with the k best so far, ties to the smaller id and then row."""
+        if not len(q):
+            return
+        changed = np.unique(q)
+        q = np.r_[np.repeat(np.arange(len(changed)), self.k), np.searchsorted(changed, q)]
+        score, ids, rows = (
+            np.r_[kept[changed].reshape(-1), new] for kept, new in ((self.scores, score), (self.ids, ids), (self.rows, rows)))
+        order = np.lexsort((rows, ids, -score, q))
+        counts = np.bincount(q)
+        best = order[((np.cumsum(counts) - counts)[:, None] + np.arange(self.k)).reshape(-1)]
+        for kept, new in ((self.scores, score), (self.ids, ids), (self.rows, rows)):
+            kept[changed] = new[best].reshape(-1, self.k)
 
     def highest_of(self, scores, bound, hit, own, ids, rows):
         """(scores, ids, rows) of the k best of each row; a query's own place counts as no candidate."""
@@ -227,19 +259,44 @@ class TopK:
             return pa.array([r[t] for r, t in zip(of, there, strict=True)], pa.list_(pa.int64()))
 
         return pa.RecordBatch.from_pydict({
-            "query": pa.array(self.queries.rows), "query_id": pa.array(self.queries.ids),
+            "query": pa.array(self.rows_asked), "query_id": pa.array(self.ids_asked),
             "vec_ids": lists(self.ids), "rows": lists(self.rows), "scores": lists(self.scores)})
 
 
+def searched(k: int):
+    """Stream over the rows of cells, in each the query blocks before the vector blocks: the k best of each query in its cell."""
+
+    def kernel(batches):
+        cell, asking = None, []
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("cell", "asking", *COLUMNS)]
+            for i in range(batch.num_rows):
+                at, is_asking, *values = (c[i].as_py() for c in columns)
+                if at != cell:
+                    for running in asking:
+                        yield running.hits()
+                    cell, asking = at, []
+                block = Block.read(*values)
+                if is_asking:
+                    asking.append(TopK(block, k))
+                    continue
+                for running in asking:
+                    running.meet(block)
+        for running in asking:
+            yield running.hits()
+
+    return kernel
+
+
 def exact_top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, scale: float = SCALE, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """The ``k`` highest inner products of every row that ``is_query`` holds for, with all other rows.
 
     Components are floor(scale * x). Vectors are packed into blocks of a bounded size; each query block meets every
-    candidate block once. A query's non-zero components walk the posting lists of a block and add the weighted
-    postings to dense score rows; the k best are chosen by partition and merged over blocks, then over tasks.
-    Nothing grows in a task but k rows per query of one block.
+    candidate block once, in a task that holds a bounded number of query blocks while the candidate blocks come by. A query's
+    non-zero components walk the posting lists of a block and add the weighted postings to dense score rows; what reaches
+    the k best so far is merged over blocks, then over tasks. Nothing grows in a task but k rows per query it holds.
 
     Rows: query_id, rank (from 1), vec_id, score; ties go to the smaller id.
 
@@ -252,40 +309,29 @@ def exact_top_k(
     chosen = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
     blocks = stored(packed_blocks(chosen, scale, CANDIDATES), "search-blocks")
-    asked, there = blocks.select(F.sum("asked"), F.sum("n")).first()
+    asked, there, n_blocks = blocks.select(F.sum("asked"), F.sum("n"), F.count(F.lit(1))).first()
     asked, there = asked or 0, there or 0
     queries = stored(repacked_queries(blocks, QUERIES, max(1, -(-asked // (8 * QUERIES)))), "search-queries")
 
-    # A grid of tasks: each has one of ``down`` parts of the queries and one of ``across`` parts of the vectors.
-    # Queries are sent ``across`` times and vectors ``down`` times, so the grid follows their sizes.
+    # A grid of cells: each has one of ``down`` parts of the queries and one of ``across`` parts of the vectors.
+    # Queries are sent ``across`` times and vectors ``down`` times, so the grid follows their sizes; a cell holds its
+    # query blocks (so there is a bound on them) and its vector blocks come by one at a time.
     tasks = 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    down = max(1, round((tasks * asked / max(there, 1)) ** 0.5))
-    across = max(1, -(-tasks // down))
+    down = max(1, round((tasks * asked / max(there, 1)) ** 0.5), -(-queries.count() // HELD))
+    across = max(1, min(n_blocks, -(-tasks // down)))
 
     def dealt(parts: int) -> Column:  # blocks of one writer are numbered one by one
         return F.pmod(F.shiftright("block", 40) + F.col("block").bitwiseAND((1 << 40) - 1), F.lit(parts)).cast("int")
 
-    def copies(parts: int) -> Column:
+    def others(parts: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
-    asking = queries.select(
-        dealt(down).alias("y"), copies(across).alias("x"), *[F.col(c).alias(f"q_{c}") for c in ("block", *COLUMNS)])
-    met = blocks.select(dealt(across).alias("x"), copies(down).alias("y"), *COLUMNS).join(asking, ["x", "y"]).drop("x", "y")
+    def cells(of: DataFrame, is_asking: bool, x: Column, y: Column) -> DataFrame:
+        return of.select(x.alias("x"), y.alias("y"), "block", *COLUMNS).select(
+            (F.col("y") * across + F.col("x")).alias("cell"), F.lit(is_asking).alias("asking"), "block", *COLUMNS)
 
-    def search(batches):
-        running = None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
-                if running is None or running[0] != row["q_block"]:
-                    if running:
-                        yield running[1].hits()
-                    running = row["q_block"], TopK(Block.read(*[row[f"q_{c}"] for c in COLUMNS]), k)
-                running[1].meet(Block.read(*[row[c] for c in COLUMNS]))
-        if running:
-            yield running[1].hits()
-
-    hits = met.sortWithinPartitions("q_block").mapInArrow(search, HITS)
+    met = cells(queries, True, others(across), dealt(down)).unionByName(cells(blocks, False, dealt(across), others(down)))
+    hits = met.repartition(down * across, "cell").sortWithinPartitions("cell", F.desc("asking"), "block").mapInArrow(searched(k), HITS)
     each = hits.select("query", "query_id", F.explode(F.arrays_zip("vec_ids", "rows", "scores")).alias("hit")).select(
         "query", "query_id", F.col("hit.vec_ids").alias("vec_id"), F.col("hit.rows").alias("row"), F.col("hit.scores").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")

@@ -79,3 +79,36 @@ def test_blocks_hold_every_vector_once():
         assert np.concatenate([b.ids for b in made]).tolist() == list(range(120))
         assert np.concatenate([b.values for b in made]).tolist() == block.values.tolist()
         assert [Block.read(*[b.packed(1).column(i)[0].as_py() for i in range(3, 8)]).values.tolist() for b in made] == [b.values.tolist() for b in made]
+
+
+def test_blocks_go_to_the_task_of_their_cell_and_are_not_joined_pair_by_pair(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "CANDIDATES", 16)
+    monkeypatch.setattr(vector_search, "QUERIES", 8)
+    rows = [(i, r[1], "x", 1, "y") for i, r in enumerate(make(7, 400, 6)) if r[1]]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    made = exact_top_k(df, F.col("vec_id") % 2 == 0, k=5)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()  # a joined row would hold two blocks
+    assert found(made) == brute(rows, 2, 5)
+
+
+def test_a_task_holds_a_bounded_number_of_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "CANDIDATES", 32)
+    monkeypatch.setattr(vector_search, "QUERIES", 4)
+    monkeypatch.setattr(vector_search, "HELD", 2)
+    rows = make(8, 200, 5)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert found(exact_top_k(df, F.col("vec_id") % 2 == 0, k=6)) == brute(rows, 2, 6)
+
+
+def test_running_best_with_ties_over_many_blocks_equals_sorting_all():
+    rng = np.random.default_rng(4)
+    for top, k in ((2, 3), (40, 9), (1e6, 4), (1e17, 2)):
+        values = np.floor(rng.uniform(-top, top, (300, 4)))
+        values[rng.integers(0, 300, 120)] = values[0]
+        block = Block(rng.integers(0, 150, 300), np.arange(300), np.ones(300, bool), np.full(300, 4), values.reshape(-1))
+        running = TopK(block.part(np.arange(70)), k)
+        for part in np.array_split(rng.permutation(300), 7):
+            running.meet(block.part(part))
+        for q in range(70):
+            exact = sorted((-max(-2**63 + 2, min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(values[q], values[c])))), block.ids[c], c) for c in range(300) if c != q)
+            assert list(zip((-running.scores[q]).tolist(), running.ids[q].tolist(), running.rows[q].tolist())) == exact[:k]
